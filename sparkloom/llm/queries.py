@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["topn", "split"]
+MODULES = ["topn", "split", "bpe", "mixture"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
