@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["alike", "topn", "split", "bpe", "mixture"]
+MODULES = ["alike", "history", "topn", "split", "bpe", "mixture"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
