@@ -231,14 +231,14 @@ def close_pairs(classes: DataFrame, least: float) -> DataFrame:
             ok = cosine >= least
             out.append(pd.DataFrame({"a": qc[qo][ok], "b": qc[xo][ok], "cosine": cosine[ok]}))
             a, b = qc[qi[~here]], xc[xi[~here]]
-            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": np.nan}))
+            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": np.nan}))  # becomes null
         return pd.concat(out) if out else empty
 
     keys = ["cell", "qb", "xb"]
     found = queries.groupBy(*keys).cogroup(spilled.groupBy(*keys)).applyInPandas(scan, schema)
     found = durable(found, "close")
-    known = found.where("NOT isnan(cosine)")
-    open_ = found.where("isnan(cosine)").select("a", "b").distinct()
+    known = found.where("cosine IS NOT NULL")
+    open_ = found.where("cosine IS NULL").select("a", "b").distinct()
     va = classes.select(F.col("cls").alias("a"), F.col("vector").alias("va"))
     vb = classes.select(F.col("cls").alias("b"), F.col("vector").alias("vb"))
 
