@@ -4,10 +4,11 @@ The *canonical string* of a text is its set of word triples in a fixed global or
 reordered sentences have the same one. Two texts are alike if they share at least half of their
 triples, which bounds the edit (insert/delete) distance of their canonical strings of lengths n and
 m by (n + m) div 3. Of a stored string at most n div 2 elements can be missing in one alike to it.
-So of the first n div 2 + 1 elements, each stored as a *segment* with the string's length and its
-own position, at least one is met by an element of the probing string; which elements probe, and
-which lengths and positions they may meet, follows from the same bound. Segments of more than one
-triple would not do: at this distance a text can lose an element out of every such segment.
+So of the first n div 2 + m elements, each stored as a *segment* with the string's length and its
+own position, at least m are met by elements of the probing string; which elements probe, and
+which lengths and positions they may meet, follows from the same bound. A pair is verified if it
+meets in m segments. Segments of more than one triple would not do: at this distance a text can
+lose an element out of every such segment.
 
 An index is a folder with one part per appended batch. New batches probe it and are appended;
 earlier parts are read by the join but never rewritten.
@@ -27,6 +28,8 @@ from sparkloom.llm.rarity import by_rarity, triple_levels
 from sparkloom.llm.triples import set_hash, shared, slices, triple_sets
 
 TOKEN_BITS = 40  # of a segment's hash; equal hashes only make a candidate, which is verified
+#: Segments a pair must have in common before it is verified (all that it must share, if those are fewer).
+MATCHES = 4
 SEGMENT = "segment long, cls long, n int, at int"
 
 
@@ -59,7 +62,7 @@ def segments(classes: DataFrame, levels: np.ndarray) -> DataFrame:
             values, _, owner = by_rarity(values, offsets, sent.value)
             n = np.diff(offsets)
             at = np.arange(len(values)) - np.repeat(offsets[:-1], n)
-            keep = at <= (n // 2)[owner]
+            keep = at < (n // 2 + MATCHES)[owner]
             owner, at = owner[keep], at[keep]
             realm = np.asarray(b.column(1).to_numpy(zero_copy_only=False), np.uint64)[owner]
             segment = (values[keep] + realm * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TOKEN_BITS)
@@ -77,10 +80,12 @@ def meet(probing: DataFrame, stored: DataFrame, within: bool = False) -> DataFra
     a = probing.select("segment", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("at").alias("i"))
     b = stored.select("segment", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("at").alias("j"))
     least = F.expr("(nx + ny + 2) div 3")  # what alike texts of these lengths share
-    ok = (F.col("i") <= F.col("nx") - least) & (F.col("j") <= F.col("ny") - least)
+    need = F.least(F.lit(MATCHES), least)
+    ok = (F.col("i") < F.col("nx") - least + need) & (F.col("j") < F.col("ny") - least + need)
     ok = ok & (F.col("nx") <= 2 * F.col("ny")) & (F.col("ny") <= 2 * F.col("nx"))
     ok = ok & (F.col("x") < F.col("y") if within else F.col("x") != F.col("y"))
-    return a.join(b, "segment").where(ok).select("x", "y").distinct()
+    met = a.join(b, "segment").where(ok).select("x", "y", need.alias("need"))
+    return met.groupBy("x", "y", "need").agg(F.count("*").alias("met")).where("met >= need").select("x", "y")
 
 
 def bounded(pairs: DataFrame, probing: DataFrame, stored: DataFrame) -> DataFrame:
