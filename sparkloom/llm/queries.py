@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["alike", "history", "topn", "split", "vectors", "bpe", "mixture"]
+MODULES = ["alike", "history", "topn", "split", "vectors", "bpe", "mixture", "residue"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
