@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import canonical_id, durable, table
+from sparkloom.llm.common import canonical_id, durable, rows_in, table
 from sparkloom.llm.rarity import by_rarity, counts_of, text_classes, triple_levels
 from sparkloom.llm.triples import shared, slices, triple_sets
 
@@ -24,7 +24,6 @@ from sparkloom.llm.triples import shared, slices, triple_sets
 MATCHES = np.array([1, 2, 3, 4, 5, 6, 8, 10, 12])
 #: Cost of verifying one candidate in units of joining one posting.
 VERIFY_COST = 8.0
-BITS = 26  # of a set of selected row numbers, 8 MB at most
 
 
 def postings(classes: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -130,32 +129,6 @@ def expand(links: DataFrame, member: DataFrame, key: str) -> DataFrame:
     return pairs.distinct().select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b"))
 
 
-def _slot(col: str):
-    return F.pmod(F.xxhash64("from_export", col), F.lit(1 << BITS))
-
-
-def selected(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows whose (from_export, number) is in ``chosen``, and few others.
-
-    A set of fixed size (2**26 bits) of the chosen numbers' hashes is sent to all tasks, so that
-    texts of other rows are dropped where they are read. At most 2**20 words reach the driver.
-    """
-    word = F.expr("cast(slot div 64 as int) AS word")
-    words = chosen.select(_slot("number").alias("slot")).select(word, F.expr("shiftleft(1L, cast(slot % 64 as int)) AS bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table_ = np.zeros(1 << (BITS - 6), np.int64)
-    table_[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    sent = rows.sparkSession.sparkContext.broadcast(table_.view(np.uint64))
-    names = rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot = b.column(len(names)).to_numpy(zero_copy_only=False)
-            hit = (sent.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
-            yield b.select(names).filter(pa.array(hit.astype(bool)))
-
-    return rows.withColumn("__slot", _slot("number")).mapInArrow(run, rows.schema)
-
-
 def content_texts(exported: DataFrame, results: DataFrame) -> DataFrame:
     """content_id, text: of each canonical content the non-null text with the highest row_id in the
     exports; of contents without one there, the text of one of their search results."""
@@ -164,7 +137,7 @@ def content_texts(exported: DataFrame, results: DataFrame) -> DataFrame:
     rows = e.unionByName(r).where("content_id IS NOT NULL AND text IS NOT NULL")
     best = rows.groupBy("content_id").agg(F.max(F.struct("from_export", "number")).alias("b"))
     best = durable(best.select("content_id", "b.from_export", "b.number"), "chosen")
-    return selected(rows, best).join(best, ["content_id", "from_export", "number"], "left_semi").select("content_id", "text")
+    return rows_in(rows, best, ["from_export", "number"]).join(best, ["content_id", "from_export", "number"], "left_semi").select("content_id", "text")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

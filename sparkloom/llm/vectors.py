@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import canonical_id, durable, table
+from sparkloom.llm.common import canonical_id, durable, rows_in, table
 
 WIDTH = 128
-PARTS, CODES = 32, 16
+PARTS, CODES = 64, 16
 #: Inner products above this count in the loss; gives the weight of the parallel error.
 NOISE_THRESHOLD = 0.2
 WEIGHT = (WIDTH - 1) * NOISE_THRESHOLD**2 / (1 - NOISE_THRESHOLD**2)
@@ -124,7 +124,7 @@ class Quantiser:
         q = least * y + np.sqrt(1 - least**2) * noise
         rest = y - self.cells[home[some]]
         score = ((self.cells[home[some]] + decode(encode(y, rest, self.book), self.book)) * q).sum(1)
-        self.bound = float(least - max(0.03, np.quantile(least - score, 0.9995) + 0.02))
+        self.bound = float(least - max(0.03, np.quantile(least - score, 0.9998)))
 
     def near(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest cells of each unit vector, nearest first."""
@@ -238,9 +238,10 @@ def close_pairs(classes: DataFrame, least: float) -> DataFrame:
     found = queries.groupBy(*keys).cogroup(spilled.groupBy(*keys)).applyInPandas(scan, schema)
     found = durable(found, "close")
     known = found.where("cosine IS NOT NULL")
-    open_ = found.where("cosine IS NULL").select("a", "b").distinct()
-    va = classes.select(F.col("cls").alias("a"), F.col("vector").alias("va"))
-    vb = classes.select(F.col("cls").alias("b"), F.col("vector").alias("vb"))
+    open_ = durable(found.where("cosine IS NULL").select("a", "b").distinct(), "open")
+    needed = rows_in(classes.select("cls", "vector"), open_.select(F.explode(F.array("a", "b")).alias("cls")), ["cls"])
+    va = needed.select(F.col("cls").alias("a"), F.col("vector").alias("va"))
+    vb = needed.select(F.col("cls").alias("b"), F.col("vector").alias("vb"))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
@@ -256,15 +257,14 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 5, least: float = 0
     """content_a, content_b, cosine: pairs with a cosine of at least ``least`` of which one is among the ``k`` closest
     others of the other (equal cosine, rounded to 6 decimals: smaller key first).
 
-    Of several valid vectors of a key the greatest is taken. Null keys and vectors that are null,
+    Of several valid vectors of a key one is taken, the same in every run. Null keys and vectors that are null,
     of another length, not finite or all zero are left out. Keys with the same vector are one class
     while searching; of a class only its ``k + 1`` first keys can be among the closest of anything,
     so only those are expanded as neighbours. Extra columns are ignored.
     """
-    vectors = valid_vectors(rows, key, vector).groupBy("key").agg(F.max("vector").alias("vector"))
-    member = durable(vectors.withColumn("cls", F.xxhash64("vector")), "vectors")
-    classes = durable(member.groupBy("cls").agg(F.first("vector").alias("vector")), "classes")
-    member = member.select("key", "cls")
+    vectors = valid_vectors(rows, key, vector).withColumn("cls", F.xxhash64("vector"))
+    member = durable(vectors.groupBy("key").agg(F.max("cls").alias("cls")), "members")
+    classes = durable(vectors.groupBy("cls").agg(F.first("vector").alias("vector")), "classes")
     pairs = durable(close_pairs(classes, least), "pairs")
     by_key = Window.partitionBy("cls").orderBy("key")
     first = member.withColumn("nth", F.row_number().over(by_key)).where(F.col("nth") <= k + 1).select(F.col("cls").alias("x"), F.col("key").alias("other"))
