@@ -1 +1 @@
-
+"""Scalar building blocks: every one a Column expression, so plans stay inside the JVM."""

@@ -1 +1 @@
-
+"""Operators over the model's tables; each takes and returns DataFrames."""

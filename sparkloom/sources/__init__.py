@@ -1 +1 @@
-
+"""Tables of the model: schemas, readers, a file store, and export documents."""
