@@ -42,7 +42,7 @@ QUALITY = "CASE WHEN similarity >= 0.85 THEN 'Excellent' WHEN similarity >= 0.7
 def search_sql(where: str = "true", limit: int = 10, decay: str = "1.0", having: str = "true", extra: str = "") -> str:
     body = f""", {Q}, s AS (SELECT content_id, session_id, content_type, ts, {SIM} AS similarity, CAST({WEIGHT} AS DOUBLE) AS importance FROM emb, q WHERE {where}),
     r AS (SELECT content_id, similarity, importance, (similarity * 0.7 + importance * 0.3) * ({decay}) AS raw, {QUALITY} AS quality FROM s WHERE {having})
-    SELECT content_id, similarity, importance, round(raw, 6) AS score, quality FROM r ORDER BY raw DESC, content_id LIMIT {limit}"""
+    SELECT content_id, similarity, importance, round(raw, 7) AS score, quality FROM r ORDER BY raw DESC, content_id LIMIT {limit}"""
     return with_tables(f"emb {extra}".strip(), "").rstrip() + body
 
 
@@ -50,7 +50,7 @@ DECAY = "exp(-0.5 * greatest(date_sub('day', ts, TIMESTAMP '2026-01-01'), 0) / 3
 
 
 def shown(hits):
-    return hits.select("content_id", "similarity", "importance", F.round("score", 6).alias("score"), "quality")
+    return hits.select("content_id", "similarity", "importance", F.round("score", 7).alias("score"), "quality")
 
 
 @query("sr1_global_search", search_sql())
