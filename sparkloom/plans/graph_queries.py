@@ -214,3 +214,44 @@ def _(spark, d):
     u = T.updates(spark, d).select("update_id", "session_id", F.col("title").alias("text"))
     hits = G.text_entities(u, ent, "update_id")
     return G.relevance(hits, e.groupBy("session_id").agg(F.min("src").alias("name")), e, "update_id")
+
+
+def _query_entities(edges):
+    """The first source by name of each session, as the entities of a query."""
+    return edges.groupBy("session_id").agg(F.min("src").alias("name"))
+
+
+@query("gr13_query_analysis", with_tables("upd edge", f""", {SYM}, qe AS (SELECT session_id, min(src) AS name FROM edge GROUP BY 1),
+  o AS (SELECT session_id, node AS name, other, row_number() OVER (PARTITION BY session_id, node ORDER BY other) AS n FROM (SELECT DISTINCT session_id, node, other FROM sym JOIN qe USING (session_id) WHERE node = qe.name))
+  SELECT session_id, name, string_agg(other, '|' ORDER BY other) AS related FROM o WHERE n <= 5 GROUP BY 1, 2"""))
+def _(spark, d):
+    from sparkloom.operators import retrieval
+
+    e = T.edges(spark, d)
+    return retrieval.query_analysis(_query_entities(e), e).select("session_id", "name", F.array_join("related", "|").alias("related"))
+
+
+@query("gr14_enriched_results")
+def _(spark, d):
+    from sparkloom.operators import retrieval
+
+    ent, e = _tables(spark, d)
+    hits = T.updates(spark, d).select("update_id", "session_id", F.concat_ws(" ", "title", "description", F.array_join(F.coalesce("creates_entities", F.array().cast("array<string>")), " ")).alias("text"))
+    return retrieval.enriched(hits, _query_entities(e), ent, e, "update_id").select("update_id", "relevance")
+
+
+@query("gr15_connections")
+def _(spark, d):
+    from sparkloom.operators import retrieval
+
+    ent, e = _tables(spark, d)
+    named = T.mentions(spark, d).select("update_id", "session_id", "name")
+    return retrieval.connections(named, e, "update_id", 50).select("left", "right", "origin", "target", F.size("path").alias("n"))
+
+
+@query("emb2_hashed_vectors", with_tables("upd", "SELECT update_id, 384 AS width FROM upd"))
+def _(spark, d):
+    from sparkloom.operators import retrieval
+
+    v = retrieval.hashed_vectors(T.updates(spark, d), "update_id", "title")
+    return v.select("update_id", F.size("vector").alias("width"))
