@@ -32,6 +32,29 @@ def entities(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("session_id", "name").agg(F.count("*").alias("mention_count"), F.min("ts").alias("first_mentioned"), F.max("ts").alias("last_mentioned"))
 
 
+def typed_entities(mentions: DataFrame) -> DataFrame:
+    """Entities with a type, inferred from their first mention and their name."""
+    from sparkloom.operators.extract import entity_type
+
+    first = F.min_by("update_type", F.struct("ts", "update_id"))
+    e = mentions.groupBy("session_id", "name").agg(F.count("*").alias("mention_count"), F.min("ts").alias("first_mentioned"), F.max("ts").alias("last_mentioned"), first.alias("__t"))
+    return e.withColumn("entity_type", entity_type(F.col("__t"), F.col("name"))).drop("__t")
+
+
+def entity_search(entities_: DataFrame, query: str) -> DataFrame:
+    """Entities whose name holds a text, in any case."""
+    from sparkloom.functions import text, validate
+
+    return entities_.where(text.contains(F.col("name"), validate.query_arg(query)))
+
+
+def of_type(typed: DataFrame, kind: str) -> DataFrame:
+    """Entities of a type, given in any case; an unknown one is Concept."""
+    from sparkloom.functions import validate
+
+    return typed.where(F.col("entity_type") == validate.entity_type(kind))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """Both directions counted; self loops twice."""
     return symmetric(edges).groupBy("session_id", F.col("node").alias("name")).agg(F.count("*").alias("degree"))

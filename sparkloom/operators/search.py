@@ -166,3 +166,17 @@ def restore_context(store: DataFrame, query: Sequence[float], session_id: str, *
     own = semantic_search(scoped(store, "session", session_id), query, 10, **options)
     related = related_experiences(store, query, session_id)
     return {"results": own, "related": related, "themes": themes(own), "confidence": confidence(own, related)}
+
+
+def formatted(hits: DataFrame) -> DataFrame:
+    """Results under their short names: content, score, session_id, type, timestamp, rank."""
+    w = Window.orderBy(F.col("score").desc(), "content_id")  # a ranked result has a handful of rows
+    return hits.select(
+        F.col("text").alias("content"), F.round("score", 7).alias("score"), "session_id", scoring.content_type(F.col("content_type")).alias("type"), F.col("ts").alias("timestamp"), F.row_number().over(w).alias("rank")
+    )
+
+
+def explained(results: DataFrame) -> DataFrame:
+    """result_id and how its combined score came about."""
+    score, similarity, weight = (F.col(c).cast("double") for c in ("combined_score", "similarity_score", "importance_score"))
+    return results.select("result_id", scoring.explanation(score, similarity, weight).alias("explanation"))

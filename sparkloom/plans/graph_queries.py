@@ -255,3 +255,26 @@ def _(spark, d):
 
     v = retrieval.hashed_vectors(T.updates(spark, d), "update_id", "title")
     return v.select("update_id", F.size("vector").alias("width"))
+
+
+@query("flt7_entity_search", with_tables("upd mention", f", {ENT} SELECT session_id, name FROM ent WHERE contains(lower(name), 'cache')"))
+def _(spark, d):
+    return G.entity_search(G.entities(T.mentions(spark, d)), "Cache").select("session_id", "name")
+
+
+_TYPED = """, f AS (SELECT session_id, name, update_type, row_number() OVER (PARTITION BY session_id, name ORDER BY ts NULLS FIRST, update_id) AS n FROM mention),
+  ty AS (SELECT session_id, name, CASE update_type WHEN 'CodeChanged' THEN 'CodeComponent' WHEN 'ProblemSolved' THEN 'Solution' WHEN 'DecisionMade' THEN 'Decision' WHEN 'ConceptDefined' THEN 'Concept' ELSE
+    CASE WHEN regexp_matches(lower(name), 'rust|cargo|postgresql|postgres|jwt|json|api|http|sql|database|redis|docker|kubernetes|git|server|client|\\.rs$|\\.toml$') THEN 'Technology'
+         WHEN regexp_matches(lower(name), 'bug|issue|problem|error|fail|crash|exception|panic') THEN 'Problem'
+         WHEN regexp_matches(lower(name), 'function|method|struct|enum|trait|impl|module|lib|crate|package|/|::') THEN 'CodeComponent'
+         WHEN regexp_matches(lower(name), 'fix|solution|resolve|implement|patch|update') THEN 'Solution' ELSE 'Concept' END END AS entity_type FROM f WHERE n = 1)"""
+
+
+@query("flt8_entities_by_type", with_tables("upd mention", _TYPED + " SELECT session_id, name FROM ty WHERE entity_type = 'CodeComponent'"))
+def _(spark, d):
+    return G.of_type(G.typed_entities(T.mentions(spark, d)), "code_component").select("session_id", "name")
+
+
+@query("ex11_typed_entities", with_tables("upd mention", _TYPED + " SELECT entity_type, count(*) AS n FROM ty GROUP BY 1"))
+def _(spark, d):
+    return G.typed_entities(T.mentions(spark, d)).groupBy("entity_type").agg(F.count("*").alias("n"))

@@ -188,3 +188,34 @@ def _(spark, d):
     e = T.embeddings(spark, d)
     session = e.where("session_id IS NOT NULL").orderBy("content_id").select("session_id").head()[0]
     return S.restore_context(e, probe(e), session)["confidence"]
+
+
+@query("prj7_formatted", search_sql().replace("content_id, similarity, importance, round(raw, 7) AS score, quality FROM r ORDER BY raw DESC, content_id LIMIT 10", f"""e.text AS content, round(raw, 7) AS score, e.session_id, {KIND.replace("content_type", "e.content_type")} AS type, e.ts AS timestamp,
+  CAST(row_number() OVER (ORDER BY raw DESC, content_id) AS INTEGER) AS rank FROM r JOIN emb e USING (content_id) ORDER BY raw DESC, content_id LIMIT 10"""))
+def _(spark, d):
+    e = T.embeddings(spark, d)
+    return S.formatted(S.semantic_search(e, probe(e)))
+
+
+@query("sr10_related_experiences", search_sql("coalesce(session_id <> (SELECT session_id FROM emb WHERE session_id IS NOT NULL ORDER BY content_id LIMIT 1), true)", having="similarity >= 0.2", limit=10))
+def _(spark, d):
+    e = T.embeddings(spark, d)
+    session = e.where("session_id IS NOT NULL").orderBy("content_id").select("session_id").head()[0]
+    return shown(S.related_experiences(e, probe(e), session, least=0.2))
+
+
+@query("sr8_explanations")
+def _(spark, d):
+    return S.explained(T.results(spark, d).where("combined_score IS NOT NULL AND similarity_score IS NOT NULL AND importance_score IS NOT NULL"))
+
+
+@query("sr18_worth_indexing", "SELECT count(*) AS n FROM semantic_search_result WHERE strlen(trim(text_content, ' ')) >= 10")
+def _(spark, d):
+    from sparkloom.functions.text import worth_indexing
+
+    return T.results(spark, d).where(worth_indexing(F.col("text_content"))).agg(F.count("*").alias("n"))
+
+
+@query("jn2_workspace_members", with_tables("emb ws", "SELECT workspace_id, count(*) AS n FROM emb JOIN ws USING (session_id) GROUP BY 1"))
+def _(spark, d):
+    return T.embeddings(spark, d).join(T.workspace_sessions(spark, d), "session_id").groupBy("workspace_id").agg(F.count("*").alias("n"))

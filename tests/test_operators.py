@@ -159,3 +159,82 @@ def test_as_of_join_ties(spark):
     right = spark.createDataFrame([("k", t[1], "old"), ("k", t[2], "now"), ("k", t[3], "late")], "k string, ts timestamp, v string")
     got = {r["id"]: r["v"] for r in relational.as_of_join(left, right, ["k"], columns=["v"]).collect()}
     assert got == {1: None, 2: "now", 3: None}
+
+
+def test_cache():
+    from sparkloom.operators.retrieval import ResultCache
+
+    class Frame:
+        def limit(self, n):
+            return self
+
+        def collect(self):
+            return ["row"]
+
+    now = [0.0]
+    c = ResultCache(size=2, ttl=10, clock=lambda: now[0])
+    assert c.search(Frame, [1.0], limit=5, session_id="s") == ["row"] and c.misses == 1
+    c.search(Frame, [1.0], limit=5, session_id="s")
+    assert c.hits == 1
+    c.search(Frame, [1.0], limit=5, session_id="s", bias=0.5)
+    assert c.misses == 2  # other arguments, other result
+    now[0] = 11
+    c.search(Frame, [1.0], limit=5, session_id="s")
+    assert c.misses == 3
+    c.drop("s")
+    assert not c.kept
+    for v in range(5):
+        c.search(Frame, [float(v)])
+    assert len(c.kept) == 2
+
+
+def test_hashed_vectors(spark):
+    from sparkloom.operators.retrieval import hashed_vectors
+
+    t = spark.createDataFrame([(1, "the red fox runs"), (2, "the red fox runs home"), (3, "quite another thing"), (4, None)], "id long, text string")
+    v = {r["id"]: np.array(r["vector"]) for r in hashed_vectors(t, "id", width=128).collect()}
+    assert v[1] @ v[2] > 0.6 > abs(v[1] @ v[3])
+    assert not v[4].any()
+
+
+def test_connections(spark):
+    from sparkloom.operators import retrieval
+
+    e = edges(spark, ("payment", "database"), ("database", "timeout"), ("timeout", "retry"))
+    named = spark.createDataFrame([("h1", "s", "payment"), ("h2", "s", "timeout")], "id string, session_id string, name string")
+    assert [r["path"] for r in retrieval.connections(named, e, "id").collect()] == [["payment", "database", "timeout"]]
+    q = spark.createDataFrame([("s", "database")], "session_id string, name string")
+    assert retrieval.query_analysis(q, e).head()["related"] == ["payment", "timeout"]
+    hits = spark.createDataFrame([("h1", "s", "the Database, again"), ("h2", "s", "a timeout"), ("h3", "s", "nothing")], "id string, session_id string, text string")
+    ent = spark.createDataFrame([("s", n) for n in ("payment", "database", "timeout")], "session_id string, name string")
+    assert [(r["id"], r["relevance"]) for r in retrieval.enriched(hits, q, ent, e, "id").collect()] == [("h1", 100), ("h2", 50)]
+
+
+def test_incremental_indexing(spark, tmp_path):
+    from sparkloom.streaming import streams
+
+    schema = "update_id string, session_id string, ts timestamp"
+    rows = [("u1", "s", datetime(2025, 1, 1)), ("u2", "s", datetime(2025, 1, 1)), ("u2", "s", datetime(2025, 1, 1))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stored = spark.createDataFrame([("u1",)], "content_id string")
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    streams.index_new(stream, lambda: stored, lambda df, n: df.write.mode("append").parquet(out), str(tmp_path / "state")).awaitTermination()
+    assert [r["update_id"] for r in spark.read.parquet(out).collect()] == ["u2"]
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from sparkloom.__main__ import main
+
+    store = str(tmp_path / "store")
+    main([store, "load", data])
+    main([store, "stats"])
+    assert '"session"' in capsys.readouterr().out
+    main([store, "export", str(tmp_path / "e"), "--compression", "gzip"])
+    main([store, "preview", str(tmp_path / "e")])
+    assert '"format_version": "1.2.0"' in capsys.readouterr().out
+    main([store, "search", "broken", "--limit", "2"])
+    assert len(capsys.readouterr().out.splitlines()) <= 2
+    main([store, "migrate", str(tmp_path / "other")])
+    with pytest.raises(ValueError):
+        main([store, "session", "nope"])
