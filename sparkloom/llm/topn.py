@@ -33,12 +33,12 @@ def top_n_per_group(
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    rows, tmp = df.drop(rank_col), "__rank"
+    rows, tmp, alone = df.drop(rank_col), "__rank", "__alone"
     if distinct:
-        keyed = rows.where(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in distinct)))
-        w = Window.partitionBy(*group, *distinct).orderBy(*order)
-        best = keyed.withColumn(tmp, F.row_number().over(w)).where(F.col(tmp) == 1).drop(tmp)
-        rows = best.unionByName(rows.where(F.expr(" OR ".join(f"`{c}` IS NULL" for c in distinct))))
+        null = F.expr(" OR ".join(f"`{c}` IS NULL" for c in distinct))
+        rows = rows.withColumn(alone, F.when(null, F.monotonically_increasing_id()))  # a null equals none
+        w = Window.partitionBy(*group, *distinct, alone).orderBy(*order)
+        rows = rows.withColumn(tmp, F.row_number().over(w)).where(F.col(tmp) == 1).drop(tmp, alone)
     w = Window.partitionBy(*group).orderBy(*order)
     return rows.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
