@@ -142,9 +142,9 @@ def themes(results: DataFrame, n: int = 10) -> DataFrame:
 
 def confidence(primary: DataFrame, related: DataFrame) -> DataFrame:
     """min(1, 0.7 average of primary + 0.3 average of related similarities); empty averages are 0."""
-    a = primary.agg(F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("p"))
-    b = related.agg(F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("r"))
-    return a.join(b).select(F.round(F.least(F.lit(1.0), F.col("p") * 0.7 + F.col("r") * 0.3), 6).alias("confidence"))
+    both = primary.select("similarity", F.lit(True).alias("own")).unionByName(related.select("similarity", F.lit(False).alias("own")))
+    mean = lambda own: F.coalesce(F.avg(F.when(F.col("own") == own, F.col("similarity"))), F.lit(0.0))
+    return both.agg(F.round(F.least(F.lit(1.0), mean(True) * 0.7 + mean(False) * 0.3), 6).alias("confidence"))
 
 
 def similar_sessions(results: DataFrame, limit: int = 10, similarity: str = "similarity_score") -> DataFrame:

@@ -46,7 +46,8 @@ def write_export(sessions: DataFrame, updates: DataFrame, path: str, kind: str =
     docs = session_documents(sessions, updates)
     docs.select(F.col("document").alias("value")).write.mode("overwrite").option("compression", c).text(f"{path}/sessions")
     at = F.lit(exported_at) if exported_at else F.current_timestamp()
-    n = sessions.agg(F.count("*").alias("session_count")).join(updates.agg(F.count("*").alias("update_count")))
+    both = sessions.select(F.lit(1).alias("s"), F.lit(0).alias("u")).unionAll(updates.select(F.lit(0), F.lit(1)))
+    n = both.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("session_count"), F.coalesce(F.sum("u"), F.lit(0)).alias("update_count"))
     meta = n.select(F.to_json(F.struct(F.lit(FORMAT_VERSION).alias("format_version"), F.lit(kind).alias("export_type"), at.alias("exported_at"), "session_count", "update_count")).alias("value"))
     meta.coalesce(1).write.mode("overwrite").option("compression", c).text(f"{path}/metadata")
 
