@@ -9,7 +9,7 @@ cover enough, messages only if hardly any prose is left outside all windows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm import residue_examples as examples
-from sparkloom.llm.common import table
+from sparkloom.llm.common import durable, table
 
 KINDS = ["filler", "error", "script", "chrome"]
 ORDERS = (3, 4, 5)
@@ -28,8 +28,12 @@ WINDOW = 20
 FIELD_WINDOW = 4
 #: Relative frequency added to both sides of a ratio: n-grams rare in both say nothing.
 SMOOTH = 2e-4
-#: Texts (of at least MIN_SAMPLE characters) from which the prose model is fitted, at most.
-SAMPLE, MIN_SAMPLE = 1500, 500
+#: Texts of at least so many characters are mostly prose; the prose model is fitted on all of them.
+MIN_PROSE = 500
+#: Histograms of window means from 0 on, for the bounds: bins of each kind and by 1 of the mean.
+BINS, BINS_BY_1 = 1 << 14, 1 << 12
+#: Slots that are summed over tasks as one row.
+BLOCK = 1 << 14
 #: Least characters covered by filler, in all and by character of prose (less is talk about filler).
 FILLER_COVER, FILLER_RATIO = 30, 0.06
 #: Least characters covered by messages; the most prose beside them, in all and by covered character.
@@ -70,8 +74,9 @@ def normal(text: str) -> str:
     """Lower case, numbers as 0, paths as /p, hosts and long hexadecimal numbers removed."""
     t = repaired(text).lower()
     t = _HEX.sub("0a0b0c0d", t)
-    t = _HOST.sub("", t)
-    t = _PATH.sub("/p", t)
+    t = " ".join(_HOST.sub("", w) if "." in w[:-1] else w for w in t.split())  # hosts have no blanks
+    if "/" in t:
+        t = _PATH.sub("/p", t)
     return " ".join(_DIGITS.sub("0", t).split())
 
 
@@ -142,29 +147,60 @@ def window_scores(ratios: np.ndarray, c: np.ndarray, width: int) -> np.ndarray:
     return window_means(s, width)
 
 
+def counts(plain: list[str], forms: list[str]) -> np.ndarray:
+    """int[2, order, slot]: n-grams of normal texts and of shapes; sums over parts are those of the whole."""
+    out = np.zeros((2, len(ORDERS), 1 << BITS), np.int64)
+    for side, texts in enumerate((plain, forms)):
+        c, _ = codes(texts, max(ORDERS))
+        for i, o in enumerate(ORDERS):
+            out[side, i] = np.bincount(grams(c, o)[c != 0], minlength=1 << BITS)
+    return out
+
+
+def spread(model: ResidueModel, plain: list[str], forms: list[str]) -> np.ndarray:
+    """int[kind, bin]: how many windows that begin in a text have which mean, KINDS and fields; sums
+    over parts are those of the whole."""
+    out = []
+    for ratios, width, texts in ((model.kinds, WINDOW, plain), (model.field, FIELD_WINDOW, forms)):
+        c, _ = codes(texts, width)
+        means = window_scores(ratios, c, width)
+        means = means[c[: len(means)] != 0]
+        at = np.clip(means * BINS_BY_1, 0, BINS - 1).astype(np.int64)
+        out += [np.bincount(x, minlength=BINS) for x in at.T]
+    return np.stack(out)
+
+
+def contrasted(n: np.ndarray) -> ResidueModel:
+    """The ratios of labelled phrases against prose of these ``counts``; no bounds yet."""
+    prose = n / np.maximum(1, n.sum(axis=2, keepdims=True)) + SMOOTH
+    seeds = {k: [normal(x) for x in lines(getattr(examples, k.upper()))] for k in KINDS}
+    fields = [shape(x) for x in lines(examples.TEMPLATE)]
+    kinds = np.stack([np.stack([np.log((rates(seeds[k], o) + SMOOTH) / b) for k in KINDS], axis=1) for o, b in zip(ORDERS, prose[0])])
+    field = np.stack([np.log((rates(fields, o) + SMOOTH) / b)[:, None] for o, b in zip(ORDERS, prose[1])])
+    return ResidueModel(kinds.astype(np.float32), field.astype(np.float32), dict.fromkeys([*KINDS, "field"], 0.5))
+
+
+def bounded(model: ResidueModel, n: np.ndarray) -> ResidueModel:
+    """The model with bounds from the ``spread`` of prose."""
+    for kind, h in zip([*KINDS, "field"], n):
+        if total := h.sum():
+            low, high = {"field": (1.2, 2.5), "filler": (0.5, 1.0)}.get(kind, (0.35, 0.8))
+            at = np.searchsorted(np.cumsum(h), (0.9 if kind == "chrome" else 0.999) * total) + 0.5
+            model.bounds[kind] = float(np.clip(at / BINS_BY_1, low, high))
+    return model
+
+
 def fit(prose: list[str], rounds: int = 2) -> ResidueModel:
     """Fit on labelled phrases and on texts that are mostly prose; texts found to hold residue in
     one round are left out of the prose in the next."""
-    seeds = {k: [normal(x) for x in lines(getattr(examples, k.upper()))] for k in KINDS}
-    fields = [shape(x) for x in lines(examples.TEMPLATE)]
-    kept = prose
-    model = None
+    plain, forms = [*map(normal, prose)], [*map(shape, prose)]
     for left in reversed(range(rounds)):
-        plain, forms = [*map(normal, kept)], [*map(shape, kept)]
-        base = [rates(plain, o) + SMOOTH for o in ORDERS]
-        kinds = np.stack([np.stack([np.log((rates(seeds[k], o) + SMOOTH) / b) for k in KINDS], axis=1) for o, b in zip(ORDERS, base)])
-        field = np.stack([np.log((rates(fields, o) + SMOOTH) / (rates(forms, o) + SMOOTH))[:, None] for o in ORDERS])
-        model = ResidueModel(kinds.astype(np.float32), field.astype(np.float32), dict.fromkeys([*KINDS, "field"], 0.5))
-        for names, ratios, width, texts in ((KINDS, model.kinds, WINDOW, plain), (["field"], model.field, FIELD_WINDOW, forms)):
-            c, _ = codes(texts, width)
-            if len(c) <= width:
-                continue
-            means = window_scores(ratios, c, width)
-            for i, kind in enumerate(names):
-                low, high = {"field": (1.2, 2.5), "filler": (0.5, 1.0)}.get(kind, (0.35, 0.8))
-                model.bounds[kind] = float(np.clip(np.quantile(means[:, i], 0.9 if kind == "chrome" else 0.999), low, high))
+        model = contrasted(counts(plain, forms))
+        model = bounded(model, spread(model, plain, forms))
         if left:
-            kept = [t for t, found in zip(kept, cases(measure(model, kept))) if not found] or kept
+            kept = np.flatnonzero(~cases(measured(model, plain, forms)))
+            if len(kept):
+                plain, forms = [plain[i] for i in kept], [forms[i] for i in kept]
     return model
 
 
@@ -173,7 +209,11 @@ MEASURES = ["filler_chars", "fields", "error_chars", "script_chars", "prose_char
 
 def measure(model: ResidueModel, texts: list[str]) -> np.ndarray:
     """int[n, 5]: MEASURES of each text. A wide (CJK) character of prose counts as three."""
-    plain = [normal(t) for t in texts]
+    return measured(model, [*map(normal, texts)], [*map(shape, texts)])
+
+
+def measured(model: ResidueModel, plain: list[str], forms: list[str]) -> np.ndarray:
+    """``measure`` of texts of which there are the normal form and the shape."""
     c, start = codes(plain, WINDOW)
     means = window_scores(model.kinds, c, WINDOW)
     best = means + FURNITURE * (np.arange(len(KINDS)) == KINDS.index("chrome"))
@@ -191,7 +231,6 @@ def measure(model: ResidueModel, texts: list[str]) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(x)])
         return total[s[1:]] - total[s[:-1]]
 
-    forms = [shape(t) for t in texts]
     fc, fstart = codes(forms, FIELD_WINDOW)
     means = window_scores(model.field, fc, FIELD_WINDOW)[:, 0]
     on = covered(means >= model.bounds["field"], len(fc), FIELD_WINDOW) & (fc != 0)
@@ -207,33 +246,87 @@ def cases(m: np.ndarray) -> np.ndarray:
     return placed | (prose < FIELD_PROSE * fields) | alone
 
 
-def prose_sample(df: DataFrame, text: str = "text") -> list[str]:
-    """At most SAMPLE texts of at least MIN_SAMPLE characters, spread over the table by a hash of the
-    text; rows are dropped where they are read, so the driver gets no more however large the table."""
-    n = df.count()
-    rows = df.select(text).where(F.char_length(text) >= MIN_SAMPLE)
-    if n > 3 * SAMPLE:
-        rows = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int((1 << 30) * 3 * SAMPLE / n))
-    return [r[0] for r in rows.limit(SAMPLE).collect()]
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, 256):
+            yield b.slice(i, 256)
+
+
+def summed(df: DataFrame, count: Callable[[list[str], list[str]], np.ndarray]) -> np.ndarray:
+    """The sum of ``count`` over all rows (plain, form). A task sends its own sum as blocks, which are
+    added block by block as they arrive; the driver gets one array, however large the table."""
+    like = count([], [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(like.size, np.int64)
+        for b in slices(batches):
+            total += count(b.column(0).to_pylist(), b.column(1).to_pylist()).ravel()
+        yield from blocks({i: x for i, x in enumerate(total.reshape(-1, BLOCK)) if x.any()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[i] = total.get(i, 0) + np.frombuffer(x, np.int64)
+        yield from blocks(total)
+
+    def blocks(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "n"])
+
+    out = np.zeros((like.size // BLOCK, BLOCK), np.int64)
+    schema = "block int, n binary"
+    for r in df.mapInArrow(run, schema).repartition("block").mapInArrow(add, schema).collect():
+        out[r["block"]] = np.frombuffer(r["n"], np.int64)
+    return out.reshape(like.shape)
+
+
+def fit_corpus(df: DataFrame, text: str = "text", rounds: int = 2) -> ResidueModel:
+    """``fit`` on all different texts of at least MIN_PROSE characters, in whatever order they lie."""
+    schema = "plain string, form string"
+    sent = df.sparkSession.sparkContext.broadcast
+
+    def forms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            texts = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(map(normal, texts), pa.string()), pa.array(map(shape, texts), pa.string())], names=["plain", "form"])
+
+    rows = df.select(F.col(text).alias("text")).where(F.char_length("text") >= MIN_PROSE)
+    rows = rows.groupBy(F.xxhash64("text")).agg(F.first("text").alias("text")).select("text")
+    prose = durable(rows.mapInArrow(forms_of, schema), "prose")
+    n = summed(prose, counts)
+    for left in reversed(range(rounds)):
+        now = sent(contrasted(n))
+        model = bounded(now.value, summed(prose, lambda plain, forms, now=now: spread(now.value, plain, forms)))
+        if left:
+            now = sent(model)
+
+            def unfound(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+                for b in slices(batches):
+                    found = cases(measured(now.value, b.column(0).to_pylist(), b.column(1).to_pylist()))
+                    yield b.filter(pa.array(~found))
+
+            kept = durable(prose.mapInArrow(unfound, schema), "prose")
+            if (less := summed(kept, counts)).any():
+                prose, n = kept, less
+    return model
 
 
 def residue(df: DataFrame, key: str = "doc_id", text: str = "text", model: ResidueModel | None = None) -> DataFrame:
     """key, MEASURES and is_residue of every row, over whole texts.
 
     Null, empty and blank texts are no residue (all measures 0). Keys may be null or repeated;
-    extra columns are not read. Without a model one is fitted on a bounded sample of the texts
-    themselves, otherwise one pass over two columns without any shuffle.
+    extra columns are not read. Without a model one is fitted on the texts themselves, all of them,
+    otherwise one pass over two columns without any shuffle.
     """
-    model = model or fit(prose_sample(df, text))
+    model = model or fit_corpus(df, text)
     sent = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([df.schema[key], *(T.StructField(m, T.LongType()) for m in MEASURES), T.StructField("is_residue", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                m = measure(sent.value, [t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in m.T.copy()), pa.array(cases(m))], names=schema.names)
+        for b in slices(batches):
+            m = measure(sent.value, [t or "" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in m.T.copy()), pa.array(cases(m))], names=schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)
 

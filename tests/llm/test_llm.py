@@ -261,3 +261,17 @@ def test_residue(spark, data):
     got = {r["doc_id"]: r["is_residue"] for r in residue.residue(df, model=model).collect()}
     assert got == {k: v[1] for k, v in cases.items()}
     assert residue.residue(df.where("false"), model=model).count() == 0
+
+
+def test_residue_is_fitted_on_all_rows(spark):
+    r = random.Random(8)
+    vocabularies = [["".join(r.choice(a) for _ in range(r.randint(2, 9))) for _ in range(80)] for a in ("abcdefgh", "klmnopqr", "ивзклмно")]
+    texts = [" ".join(r.choice(v) for _ in range(150)) for v in vocabularies for _ in range(600)]  # sorted by language
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = residue.fit(texts)
+    for other in (df, df.orderBy(F.xxhash64("text")).repartition(3), df.unionAll(df.limit(600)), df.unionAll(spark.createDataFrame([(None,), ("",), ("short",)], "text string"))):
+        got = residue.fit_corpus(other)
+        assert np.array_equal(got.kinds, want.kinds) and np.array_equal(got.field, want.field)
+        assert got.bounds == pytest.approx(want.bounds, abs=2 / residue.BINS_BY_1)
+    empty = residue.fit_corpus(df.where("false"))
+    assert np.array_equal(empty.kinds, residue.fit([]).kinds) and empty.bounds == residue.fit([]).bounds
