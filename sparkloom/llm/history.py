@@ -108,12 +108,27 @@ class SegmentIndex:
     """Segments and one text per class of everything appended so far, in a shared folder.
 
     The order of triples is fixed by the first batch, since it must stay the same; later batches
-    only make it less selective, never wrong.
+    only make it less selective, never wrong. It lies beside the segments, so that an index opened
+    again goes on with it.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.levels: np.ndarray | None = None
+        self._load()
+
+    def _load(self) -> None:
+        if self._exists("levels"):
+            kept = self._read("levels", "levels binary").head()
+            if kept is None:
+                raise ValueError(f"the order of triples in {self.path}/levels can't be read")
+            self.levels = np.frombuffer(kept["levels"], np.uint8)
+        elif self._exists("segments"):
+            raise ValueError(f"{self.path} has segments but not the order of triples they were made with")
+
+    def _exists(self, what: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def _read(self, what: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{what}")
@@ -121,6 +136,8 @@ class SegmentIndex:
     def probe(self, classes: DataFrame) -> DataFrame:
         """x (new class), y (stored class), distance of all alike pairs; empty for an empty index."""
         if self.levels is None:
+            self._load()  # another may have appended since
+        if self.levels is None or not self._exists("segments"):
             return self.spark.createDataFrame([], "x long, y long, distance long")
         new = durable(segments(classes, self.levels), "segments")
         pairs = meet(new, self._read("segments", SEGMENT))
@@ -129,7 +146,12 @@ class SegmentIndex:
     def append(self, classes: DataFrame) -> None:
         """Add classes (cls, realm, text) that are not in the index yet."""
         if self.levels is None:
-            self.levels = triple_levels(classes)
+            self._load()
+        if self.levels is None:
+            levels = triple_levels(classes)
+            kept = self.spark.createDataFrame([(bytearray(levels.tobytes()),)], "levels binary")
+            kept.coalesce(1).write.mode("error").parquet(f"{self.path}/levels")  # before any segment
+            self.levels = levels
         segments(classes, self.levels).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/segments")
         classes.select("cls", "realm", "text").write.mode("append").option("compression", "zstd").parquet(f"{self.path}/texts")
 

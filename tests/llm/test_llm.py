@@ -120,6 +120,25 @@ def test_segment_index_probes_only_new_batches(spark, tmp_path):
     assert got == {(a, b) for a, s in new for b, t in old if is_alike(s, t)}
 
 
+def test_segment_index_opened_again(spark, tmp_path):
+    texts = [t for t in corpus(400, 6) if triple_set(t)]
+    df = spark.createDataFrame([(t, 0) for t in texts], "text string, realm int")
+    classes = history.classes_of(df, ["realm"]).groupBy("cls", "realm").agg(F.first("text").alias("text")).cache()
+    third = [classes.where(f"pmod(cls, 3) = {i}") for i in range(3)]
+    early = history.SegmentIndex(spark, str(tmp_path))
+    history.SegmentIndex(spark, str(tmp_path)).append(third[0])
+    rows = [[(r["cls"], r["text"]) for r in t.collect()] for t in third]
+    first = {(a, b) for a, s in rows[1] for b, t in rows[0] if is_alike(s, t)}
+    for index in (early, history.SegmentIndex(spark, str(tmp_path))):
+        assert first and {(r["x"], r["y"]) for r in index.probe(third[1]).collect()} == first
+    history.SegmentIndex(spark, str(tmp_path)).append(third[1])
+    got = {(r["x"], r["y"]) for r in history.SegmentIndex(spark, str(tmp_path)).probe(third[2]).collect()}
+    assert got == {(a, b) for a, s in rows[2] for b, t in rows[0] + rows[1] if is_alike(s, t)}
+    (tmp_path / "levels").rename(tmp_path / "lost")
+    with pytest.raises(ValueError):
+        history.SegmentIndex(spark, str(tmp_path))
+
+
 def test_accept_long_chain(spark):
     items = spark.createDataFrame([(i, None, i) for i in range(12)], "ord long, id string, cls long")
     links = spark.createDataFrame([(i, i + 1) for i in range(11)], "x long, y long")
