@@ -129,5 +129,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
-QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares}
+def p7_mix_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture as large as all listed sources together: scarce sources are clamped to their caps,
+    the others take over what is missing."""
+    sized, targets = sized_documents(spark, sf_dir), table(spark, sf_dir, "mix_target")
+    listed = targets.where("target_share > 0").select("source").distinct()
+    total = sized.join(F.broadcast(listed), "source", "left_semi").agg(F.sum("size")).head()[0]
+    return mix(sized, targets, "doc_id", total=float(total or 0))
+
+
+def p7_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(p7_mix_full(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
+QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares, "p7_mix_full": p7_mix_full, "p7_shares_full": p7_shares_full}
 ORACLE: dict = {}

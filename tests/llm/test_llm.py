@@ -260,6 +260,18 @@ def test_mix_reaches_shares(spark):
     assert mixture.mix(sized.where("false"), targets, "doc_id").count() == 0
 
 
+def test_full_mixture_clamps_and_redistributes(spark, data):
+    sized = {r["source"]: r["n"] for r in mixture.sized_documents(spark, data).groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    targets = spark.read.parquet(f"{data}/mix_target.parquet").collect()
+    room = {r["source"]: (sized.get(r["source"]) or 0) * r["max_repeats"] for r in targets}
+    want = mixture.water_fill({r["source"]: r["target_share"] for r in targets}, room, sum(sized.get(r["source"]) or 0 for r in targets))
+    got = {r["source"]: r for r in queries.QUERIES["p7_shares_full"](spark, data).collect()}
+    largest = spark.read.parquet(f"{data}/documents.parquet").agg(F.max(F.octet_length("text"))).head()[0]
+    assert any(0 < want[s] == room[s] for s in room)  # some are clamped
+    for s in want:
+        assert abs(got[s]["n_tokens"] - want[s]) <= largest
+
+
 def test_residue(spark, data):
     prose = " ".join(f"The careful gardener number {i} carries a blue basket over the old wooden bridge before the rain begins again." for i in range(12))
     docs = spark.read.parquet(f"{data}/documents.parquet").select("text").where("text IS NOT NULL")
