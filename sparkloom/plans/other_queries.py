@@ -90,7 +90,7 @@ def _(spark, d):
 @query("vec14_product_codes")
 def _(spark, d):
     e = T.embeddings(spark, d)
-    return ann.ProductCodes(e, centroids=64).table(e).select("content_id", F.round("error", 6).alias("error"))
+    return ann.ProductCodes(e).table(e).select("content_id", F.round("error", 6).alias("error"))
 
 
 @query("src3_store_roundtrip", with_tables("session", "SELECT session_id, CASE WHEN session_id = (SELECT min(session_id) FROM session) THEN 'renamed' ELSE name END AS name FROM session WHERE session_id <> (SELECT max(session_id) FROM session)"))

@@ -23,3 +23,12 @@ def test_runs(spark, data, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_product_codes_use_the_whole_codebook(spark, data, monkeypatch):
+    from sparkloom.operators import ann
+
+    sizes, fitted = [], ann.kmeans
+    monkeypatch.setattr(ann, "kmeans", lambda x, k, *a, **kw: sizes.append(k) or fitted(x, k, *a, **kw))
+    registry.queries()["vec14_product_codes"](spark, data)
+    assert sizes == [256] * 8
