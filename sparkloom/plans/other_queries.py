@@ -171,6 +171,13 @@ def _(spark, d):
     return relational.range_join(points, p, "l_extendedprice", "low", "high", 50.0).select("p_partkey", "l_orderkey", "l_linenumber")
 
 
+@query("rel_range_join_all")
+def _(spark, d):
+    p = T.raw(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 5).alias("high"))
+    points = T.raw(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return relational.range_join(points, p, "l_extendedprice", "low", "high", 50.0).select("p_partkey", "l_orderkey", "l_linenumber")
+
+
 @query("rel_salted_sum", "SELECT l_returnflag, round(sum(l_quantity), 4) AS total, count(l_quantity) AS n FROM lineitem GROUP BY 1")
 def _(spark, d):
     s = relational.salted_sum(T.raw(spark, d, "lineitem"), ["l_returnflag"], "l_quantity")
