@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.lineage import Scratch, durable, exists, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,27 +26,6 @@ def canonical_id(col: Column | str) -> Column:
     return F.nullif(F.regexp_replace(bare, "[^0-9a-f]+", ""), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` if the session names one.
-
-    Only where it is unset (local sessions, tests) a temporary folder is made, and removed at exit.
-    """
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if own:
-        return own.rstrip("/")
-    own = tempfile.mkdtemp(prefix="sparkloom-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bits of the set of keys that ``rows_in`` sends to all tasks: 8 MB, whatever the data.
 KEY_BITS = 26
 

@@ -4,195 +4,328 @@ The *canonical string* of a text is its set of word triples in a fixed global or
 reordered sentences have the same one. Two texts are alike if they share at least half of their
 triples, which bounds the edit (insert/delete) distance of their canonical strings of lengths n and
 m by (n + m) div 3. Of a stored string at most n div 2 elements can be missing in one alike to it.
-So of the first n div 2 + m elements, each stored as a *segment* with the string's length and its
-own position, at least m are met by elements of the probing string; which elements probe, and
-which lengths and positions they may meet, follows from the same bound. A pair is verified if it
-meets in m segments. Segments of more than one triple would not do: at this distance a text can
+So of the first n div 2 + m elements, each stored as a *segment* under the string's length band and
+with its own position, at least m are met by elements of the probing string. Which elements probe a
+length band, and which positions they may meet, follows from the same bound. A pair is verified if
+it meets in m segments. Segments of more than one triple would not do: at this distance a text can
 lose an element out of every such segment.
 
-An index is a folder with one part per appended batch. New batches probe it and are appended;
-earlier parts are read by the join but never rewritten.
+An index is a folder of bucketed tables: segments by hash, strings by class, ids. A batch is hashed
+once, probes the stored buckets (which are not shuffled) and appends what it is accepted with; no
+text is stored, and none of an earlier batch is read again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import canonical_id, durable, table
+from sparkloom.llm.common import Scratch, canonical_id, durable, exists, shared_dir, table
 from sparkloom.llm.rarity import by_rarity, triple_levels
-from sparkloom.llm.triples import set_hash, shared, slices, triple_sets
+from sparkloom.llm.triples import distinct, mix, set_hash, slices, triple_sets
 
-TOKEN_BITS = 40  # of a segment's hash; equal hashes only make a candidate, which is verified
+#: Bytes kept of a triple's hash; equal ones of different triples would change a count by one.
+TOKEN_BYTES = 6
 #: Segments a pair must have in common before it is verified (all that it must share, if those are fewer).
 MATCHES = 4
-SEGMENT = "segment long, cls long, n int, at int"
+TABLES = {"segments": ("segment", "segment BIGINT, cls BIGINT, n INT, at INT"), "strings": ("cls", "cls BIGINT, tokens BINARY"), "ids": ("id", "id STRING")}
 
 
-def classes_of(rows: DataFrame, keys: list[str], text: bool = True) -> DataFrame:
-    """keys, cls BIGINT (null for texts without triples) and, if asked for, text.
+def packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Sets of hashes as binary values, TOKEN_BYTES of each hash (its upper ones)."""
+    size = TOKEN_BYTES
+    data = np.ascontiguousarray((values >> np.uint64(64 - 8 * size)).view(np.uint8).reshape(-1, 8)[:, :size])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * size).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, their lower bits 0; n+1 offsets)."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].reshape(-1, TOKEN_BYTES)
+    wide = np.zeros((len(data), 8), np.uint8)
+    wide[:, 8 - TOKEN_BYTES :] = data
+    return wide.view(np.uint64).ravel(), (offsets - offsets[0]) // TOKEN_BYTES
+
+
+def hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, cls BIGINT (null for texts without triples), tokens (their triples, packed).
 
     ``rows`` has keys, realm INT (texts of different realms are never compared) and text. Texts of
     one realm with the same set of triples have the same cls."""
-    names = [*keys, "cls", *["text"] * text]
-    schema = rows.select(*keys, F.lit(None).cast("long").alias("cls"), "text").select(names).schema
+    schema = rows.select(*keys, F.lit(None).cast("long").alias("cls"), F.lit(None).cast("binary").alias("tokens")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts = b.column(len(keys) + 1)
-            values, offsets = triple_sets(texts)
+            values, offsets = triple_sets(b.column(len(keys) + 1))
             realm = np.asarray(b.column(len(keys)).to_numpy(zero_copy_only=False), np.int64)
             cls = pa.array(set_hash(values, offsets) ^ (realm * 0x2545F4914F6CDD1D), pa.int64(), mask=np.diff(offsets) == 0)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], cls, *[texts] * text], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], cls, packed(values, offsets)], names=schema.names)
 
     return rows.select(*keys, "realm", "text").mapInArrow(run, schema)
 
 
-def segments(classes: DataFrame, levels: np.ndarray) -> DataFrame:
-    """The segments of each class (cls, realm, text): segment, cls, n (length), at (position)."""
+def canonical(classes: DataFrame, levels: np.ndarray) -> DataFrame:
+    """cls, realm, tokens in the global order."""
     sent = classes.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            values, offsets = triple_sets(b.column(2))
-            values, _, owner = by_rarity(values, offsets, sent.value)
+            values, offsets = unpacked(b.column(2))
+            values, _, _ = by_rarity(values, offsets, sent.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed(values, offsets)], names=["cls", "realm", "tokens"])
+
+    return classes.select("cls", "realm", "tokens").mapInArrow(run, "cls long, realm int, tokens binary")
+
+
+def _keys(values: np.ndarray, realm: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """The hash under which an element is stored and sought: of itself, its realm and length band."""
+    place = realm.astype(np.uint64) * np.uint64(64) + band.astype(np.uint64)
+    return (mix(values + place * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)).view(np.int64)
+
+
+def _bands(n: np.ndarray) -> np.ndarray:
+    return np.frexp(np.maximum(n, 1))[1] - 1  # floor of the binary logarithm
+
+
+def segments(strings: DataFrame) -> DataFrame:
+    """What is stored of each canonical string: segment, cls, n (length), at (position)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            values, offsets = unpacked(b.column(2))
             n = np.diff(offsets)
-            at = np.arange(len(values)) - np.repeat(offsets[:-1], n)
+            owner = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(values)) - offsets[:-1][owner]
             keep = at < (n // 2 + MATCHES)[owner]
             owner, at = owner[keep], at[keep]
-            realm = np.asarray(b.column(1).to_numpy(zero_copy_only=False), np.uint64)[owner]
-            segment = (values[keep] + realm * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TOKEN_BITS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(segment.view(np.int64)), b.column(0).take(pa.array(owner)), pa.array(n[owner].astype(np.int32)), pa.array(at.astype(np.int32))],
-                names=["segment", "cls", "n", "at"],
-            )
+            realm = np.asarray(b.column(1).to_numpy(zero_copy_only=False), np.int64)
+            key = _keys(values[keep], realm[owner], _bands(n)[owner])
+            yield _postings(key, b.column(0), owner, n, at)
+
+    return strings.select("cls", "realm", "tokens").mapInArrow(run, TABLES["segments"][1])
+
+
+def probes(strings: DataFrame, within: bool = False) -> DataFrame:
+    """What each string seeks, by length band: the shortest string of a band that may be alike says
+    how many elements, rare first, are needed there. ``within``: no bands of longer strings only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            values, offsets = unpacked(b.column(2))
+            n = np.diff(offsets)
+            realm = np.asarray(b.column(1).to_numpy(zero_copy_only=False), np.int64)
+            for step in (-1, 0) if within else (-1, 0, 1):
+                band = _bands(n) + step
+                low = np.maximum(np.left_shift(1, np.maximum(band, 0)), -(-n // 2))
+                least = (n + low + 2) // 3
+                most = np.where((band >= 0) & (low <= np.minimum(2 * n, np.left_shift(2, np.maximum(band, 0)) - 1)), np.minimum(n, n - least + np.minimum(MATCHES, least)), 0)
+                owner = np.repeat(np.arange(len(n)), most)
+                at = np.arange(len(owner)) - np.repeat(np.cumsum(most) - most, most)
+                yield _postings(_keys(values[offsets[:-1][owner] + at], realm[owner], band[owner]), b.column(0), owner, n, at)
 
-    return classes.select("cls", "realm", "text").mapInArrow(run, SEGMENT)
+    return strings.select("cls", "realm", "tokens").mapInArrow(run, TABLES["segments"][1])
+
+
+def _postings(key: np.ndarray, cls: pa.Array, owner: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(key), cls.take(pa.array(owner)), pa.array(n[owner].astype(np.int32)), pa.array(at.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["segment", "cls", "n", "at"])
 
 
 def meet(probing: DataFrame, stored: DataFrame, within: bool = False) -> DataFrame:
-    """x (probing), y (stored): classes to verify, each pair once; ``within``: both sides are the
-    same segments, and of the two directions one is enough."""
+    """x (probing), y (stored): classes to verify, each pair once; ``within``: both are of the same
+    strings, and of the two directions the one to the shorter string is enough."""
     a = probing.select("segment", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("at").alias("i"))
     b = stored.select("segment", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("at").alias("j"))
     least = F.expr("(nx + ny + 2) div 3")  # what alike texts of these lengths share
     need = F.least(F.lit(MATCHES), least)
     ok = (F.col("i") < F.col("nx") - least + need) & (F.col("j") < F.col("ny") - least + need)
     ok = ok & (F.col("nx") <= 2 * F.col("ny")) & (F.col("ny") <= 2 * F.col("nx"))
-    ok = ok & (F.col("x") < F.col("y") if within else F.col("x") != F.col("y"))
+    ok = ok & (F.expr("least(i, j) + 1 + least(nx - i, ny - j) - 1") >= least)  # enough before and behind this place
+    if within:
+        ok = ok & ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x"))))
     met = a.join(b, "segment").where(ok).select("x", "y", need.alias("need"))
     return met.groupBy("x", "y", "need").agg(F.count("*").alias("met")).where("met >= need").select("x", "y")
 
 
 def bounded(pairs: DataFrame, probing: DataFrame, stored: DataFrame) -> DataFrame:
     """The pairs whose canonical strings are within the bounded edit distance: x, y, distance."""
-    a = probing.select(F.col("cls").alias("x"), F.col("text").alias("tx"))
-    b = stored.select(F.col("cls").alias("y"), F.col("text").alias("ty"))
+    a = probing.select(F.col("cls").alias("x"), F.col("tokens").alias("tx"))
+    b = stored.select(F.col("cls").alias("y"), F.col("tokens").alias("ty"))
     both = pairs.join(a, "x").join(b, "y").select("x", "y", "tx", "ty")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in slices(batches):
-            same, union = shared(r.column(2), r.column(3))
-            distance, lengths = union - same, union + same
+        for r in slices(batches, 512):
+            (va, oa), (vb, ob) = unpacked(r.column(2)), unpacked(r.column(3))
+            na, nb, pair = np.diff(oa), np.diff(ob), np.arange(r.num_rows)
+            _, all_ = distinct(np.concatenate([va, vb]), np.concatenate([np.repeat(pair, na), np.repeat(pair, nb)]), r.num_rows)
+            distance = 2 * np.diff(all_) - na - nb  # deletions and insertions
             out = pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(distance, pa.int64())], names=["x", "y", "distance"])
-            yield out.filter(pa.array(3 * distance <= lengths))
+            yield out.filter(pa.array(3 * distance <= na + nb))
 
     return both.mapInArrow(run, "x long, y long, distance long")
 
 
+def at_once(*jobs: Callable) -> list:
+    """What the jobs return; they run side by side, since each alone leaves cores idle."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
 class SegmentIndex:
-    """Segments and one text per class of everything appended so far, in a shared folder.
+    """All that was accepted so far, in a shared folder: segments, canonical strings and ids.
 
-    The order of triples is fixed by the first batch, since it must stay the same; later batches
-    only make it less selective, never wrong. It lies beside the segments, so that an index opened
-    again goes on with it.
+    The order of triples is fixed by the first batch with texts, since it must stay the same; later
+    batches only make it less selective, never wrong. It lies beside the tables with the number of
+    buckets, so that an index opened again goes on with both. A batch counts once its number is in
+    ``commits``; what a broken append left behind is not read.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: np.ndarray | None = None
         self._load()
 
     def _load(self) -> None:
-        if self._exists("levels"):
-            kept = self._read("levels", "levels binary").head()
+        if exists(self.spark, f"{self.path}/levels"):
+            kept = self.spark.read.schema("levels binary, buckets int").parquet(f"{self.path}/levels").head()
             if kept is None:
                 raise ValueError(f"the order of triples in {self.path}/levels can't be read")
-            self.levels = np.frombuffer(kept["levels"], np.uint8)
-        elif self._exists("segments"):
-            raise ValueError(f"{self.path} has segments but not the order of triples they were made with")
-
-    def _exists(self, what: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+            self.levels, self.buckets = np.frombuffer(kept["levels"], np.uint8), kept["buckets"]
+        elif exists(self.spark, f"{self.path}/commits"):
+            raise ValueError(f"{self.path} has batches but not the order of triples they were made with")
 
-    def _read(self, what: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{what}")
-
-    def probe(self, classes: DataFrame) -> DataFrame:
-        """x (new class), y (stored class), distance of all alike pairs; empty for an empty index."""
+    def order(self, classes: DataFrame) -> np.ndarray:
+        """The global order of triples; made from ``classes`` (cls, realm, tokens) if there is none."""
         if self.levels is None:
             self._load()  # another may have appended since
-        if self.levels is None or not self._exists("segments"):
-            return self.spark.createDataFrame([], "x long, y long, distance long")
-        new = durable(segments(classes, self.levels), "segments")
-        pairs = meet(new, self._read("segments", SEGMENT))
-        return bounded(pairs, classes, self._read("texts", "cls long, realm int, text string"))
-
-    def append(self, classes: DataFrame) -> None:
-        """Add classes (cls, realm, text) that are not in the index yet."""
         if self.levels is None:
-            self._load()
-        if self.levels is None:
-            levels = triple_levels(classes)
-            kept = self.spark.createDataFrame([(bytearray(levels.tobytes()),)], "levels binary")
-            kept.coalesce(1).write.mode("error").parquet(f"{self.path}/levels")  # before any segment
+            levels = triple_levels(classes, "tokens", unpacked)
+            kept = self.spark.createDataFrame([(bytearray(levels.tobytes()), self.buckets)], "levels binary, buckets int")
+            kept.coalesce(1).write.mode("error").parquet(f"{self.path}/levels")
             self.levels = levels
-        segments(classes, self.levels).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/segments")
-        classes.select("cls", "realm", "text").write.mode("append").option("compression", "zstd").parquet(f"{self.path}/texts")
-
-
-def alike_links(classes: DataFrame) -> DataFrame:
-    """x < y: all pairs of alike classes of one collection, which probes its own segments."""
-    own = segments(classes, triple_levels(classes))
-    return bounded(meet(own, own, within=True), classes, classes).select("x", "y")
-
-
-def accept_in_order(items: DataFrame, links: DataFrame) -> DataFrame:
-    """ord of the items accepted when taken by ``ord``: an item is accepted unless one accepted
-    before has the same id, the same class, or a class linked to its own.
-
-    ``items``: ord BIGINT unique, id, cls (either may be null and then equals none); ``links``: x, y
+        return self.levels
+
+    def _table(self, what: str) -> str:
+        """The bucketed table, known to this session's catalogue by its folder."""
+        name = f"sparkloom_{what}_{hashlib.md5(self.path.encode()).hexdigest()}"
+        by, columns = TABLES[what]
+        where = f"{self.path}/{what}".replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, part BIGINT) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{where}'")
+        return name
+
+    def stored(self) -> dict[str, DataFrame]:
+        """segments, strings and ids of all batches committed by now; empty if there is none yet."""
+        if self.levels is None:
+            self._load()  # another may have appended since
+        if self.levels is None or not exists(self.spark, f"{self.path}/commits"):
+            return {}
+        parts = [r[0] for r in self.spark.read.schema("part long").parquet(f"{self.path}/commits").collect()]  # a number a batch
+        out = {}
+        for what in TABLES:
+            self.spark.catalog.refreshTable(name := self._table(what))
+            out[what] = self.spark.table(name).where(F.col("part").isin(parts)).drop("part")
+        return out
+
+    def probe(self, strings: DataFrame, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+        """x (new class), y (stored class), distance of all alike pairs; empty for an empty index.
+
+        ``strings``: cls, realm, tokens as ``canonical`` gives them."""
+        stored = self.stored() if stored is None else stored
+        if not stored:
+            return self.spark.createDataFrame([], "x long, y long, distance long")
+        return bounded(meet(probes(strings), stored["segments"]), strings, stored["strings"])
+
+    def append(self, strings: DataFrame, ids: DataFrame) -> None:
+        """Add classes (cls, realm, tokens) and ids that are not in the index yet, as one batch."""
+        part = uuid.uuid4().int >> 65
+
+        def add(what: str, rows: DataFrame) -> None:
+            by = TABLES[what][0]
+            rows = rows.repartition(self.buckets, by).withColumn("part", F.lit(part).cast("long"))
+            rows.sortWithinPartitions(by).write.insertInto(self._table(what))
+
+        at_once(lambda: add("segments", segments(strings)), lambda: add("strings", strings.select("cls", "tokens")), lambda: add("ids", ids.select("id")))
+        self.spark.createDataFrame([(part,)], "part long").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+
+    def admit(self, rows: DataFrame) -> DataFrame:
+        """Take one batch of items and append what is accepted; the refused items: keys.
+
+        ``rows``: kind, row_id, item_no (which tell items apart and give their order, nulls first),
+        id, realm (0 to 65,535, one for each kind), text. An item is refused if one accepted before, in this batch or any earlier,
+        has its id or an alike text. Null ids equal none; null, empty and short texts (under 8
+        words) are alike to none, so such an item is refused by its id only.
+        """
+        spark, scratch = self.spark, Scratch(self.spark)
+        keys = ["kind", "row_id", "item_no"]
+        items = scratch.keep(hashed(rows, [*keys, "id", "realm"]), "batch")
+        ranked = F.expr("(coalesce(cast(row_id as decimal(38,0)), -9223372036854775809) * 4294967296 + coalesce(item_no, -1)) * 65536 + realm").cast("decimal(38,0)")
+        items = items.withColumn("ord", ranked)
+        left = items.where("id IS NOT NULL OR cls IS NOT NULL").groupBy("id", "cls").agg(F.min("ord").alias("ord"))
+        # of the same id and class only the first can be accepted: what refuses it refuses the rest
+        if stored := self.stored():
+            left = left.join(stored["ids"], "id", "left_anti").join(stored["strings"].select("cls"), "cls", "left_anti")
+        left = scratch.keep(left.select("ord", "id", "cls"), "left")
+        chosen = left.where("cls IS NOT NULL").groupBy("cls").agg(F.min("ord").alias("ord"))
+        # of an item several may have the same keys; their texts are one class then, if at all
+        first = items.join(chosen, ["ord", "cls"], "left_semi").dropDuplicates(["cls"]).select("cls", "realm", "tokens")
+        first = first if self.levels is not None else scratch.keep(first, "first")
+        strings = scratch.keep(canonical(first, self.order(first)), "strings")
+        near = scratch.keep(self.probe(strings, stored).select(F.col("x").alias("cls")).distinct(), "near")
+        new = strings.join(near, "cls", "left_anti")
+        links = bounded(meet(probes(new, within=True), segments(new), within=True), new, new)
+        links = scratch.keep(links.select("x", "y"), "links")
+        taken = accept_in_order(left.join(near, "cls", "left_anti"), links, scratch)
+        free = items.where("id IS NULL AND cls IS NULL").select("ord")
+        accepted = taken.where("cls IS NOT NULL").select("cls")
+        _, refused = at_once(
+            lambda: self.append(strings.join(accepted, "cls", "left_semi"), taken.where("id IS NOT NULL").select("id")),
+            lambda: durable(items.join(taken.select("ord").unionAll(free), "ord", "left_anti").select(*keys), "refused"),
+        )
+        scratch.drop()
+        return refused
+
+
+def accept_in_order(items: DataFrame, links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """ord, id, cls of the items accepted when taken by ``ord``: an item is accepted unless one
+    accepted before has the same id, the same class, or a class linked to its own.
+
+    ``items``: ord unique, id, cls (either may be null and then equals none); ``links``: x, y
     with each pair in one direction. Each round accepts all items that nothing undecided before
-    them can still refuse, and drops what they refuse; only groupings and equi-joins on ids and
-    classes are used, so a group of any size is never held by one task. The rounds end when
-    nothing is undecided, which takes as many as the longest chain of items that wait on each other.
+    them can still refuse, and drops what they refuse, with its links; only groupings and equi-joins
+    on ids and classes are used, so a group of any size is never held by one task. The rounds end
+    when nothing is undecided, which takes as many as the longest chain of items that wait on each other.
     """
-    both = durable(links.select("x", "y").unionAll(links.select(F.col("y").alias("x"), F.col("x").alias("y"))), "links")
-    # of the same id and class only the first can be accepted: what refuses it refuses the rest
-    free = items.where("id IS NULL AND cls IS NULL").select("ord")
-    first = items.where("id IS NOT NULL OR cls IS NOT NULL").groupBy("id", "cls").agg(F.min("ord").alias("ord"))
-    left = durable(first, "undecided")
-    parts = [free]
+    scratch = scratch or Scratch(items.sparkSession)
+    both = links.select("x", "y").unionAll(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    left, parts = items.select("ord", "id", "cls"), []
     while True:
         by_id = left.where("id IS NOT NULL").groupBy("id").agg(F.min("ord").alias("o_id"))
         by_cls = left.where("cls IS NOT NULL").groupBy("cls").agg(F.min("ord").alias("o_cls"))
         near = both.join(by_cls, both.y == by_cls.cls).groupBy("x").agg(F.min("o_cls").alias("o_near"))
         turn = by_cls.join(near, by_cls.cls == near.x, "left").select("cls", F.least("o_cls", F.coalesce("o_near", "o_cls")).alias("o_cls"))
-        ready = left.join(by_id, "id", "left").join(turn, "cls", "left")
-        ready = ready.where("ord <= coalesce(o_id, ord) AND ord <= coalesce(o_cls, ord)").select("ord", "id", "cls")
-        taken = durable(ready, "accepted")
-        parts.append(taken.select("ord"))
-        ids = taken.where("id IS NOT NULL").select("id")
-        own = taken.where("cls IS NOT NULL").select("cls")
-        closed = own.unionAll(both.join(own, both.x == own.cls, "left_semi").select(F.col("y").alias("cls"))).distinct()
-        left = durable(left.join(ids, "id", "left_anti").join(closed, "cls", "left_anti"), "undecided")
-        if left.isEmpty():
+        ready = F.expr("ord <= coalesce(o_id, ord) AND ord <= coalesce(o_cls, ord)").alias("ready")
+        seen = Observation()
+        now = left.join(by_id, "id", "left").join(turn, "cls", "left").select("ord", "id", "cls", ready).observe(seen, F.count_if(~F.col("ready")).alias("waiting"))
+        now = scratch.keep(now, "round")
+        taken = now.where("ready").drop("ready")
+        parts.append(taken)
+        if not seen.get["waiting"]:
             break
+        own = taken.where("cls IS NOT NULL").select("cls")
+        closed = scratch.keep(own.unionAll(both.join(own, both.x == own.cls, "left_semi").select(F.col("y").alias("cls"))).distinct(), "closed")
+        left = now.where("NOT ready").drop("ready").join(taken.where("id IS NOT NULL").select("id"), "id", "left_anti").join(closed, "cls", "left_anti")
+        left = scratch.keep(left.select("ord", "id", "cls"), "undecided")
+        gone = closed.withColumnRenamed("cls", "g")
+        both = scratch.keep(both.join(gone, both.x == gone.g, "left_anti").join(gone, both.y == gone.g, "left_anti").select("x", "y"), "open")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
@@ -213,23 +346,24 @@ def batch_items(exported: DataFrame, sessions: DataFrame) -> DataFrame:
 def repeats(rows: DataFrame) -> DataFrame:
     """kind, row_id, item_no of the items of ``batch_items`` that are not accepted.
 
-    Items are taken by batch_no, row_id, item_no (nulls first). Null ids equal none; null, empty and
-    short texts (under 8 words) are alike to none, so such an item is refused by its id only. Items
-    are told apart by kind, row_id and item_no.
+    The batches (one number each, nulls first) are laid out as they would arrive and admitted one
+    after the other to a new index, as ``SegmentIndex.admit`` states.
     """
-    keys = ["kind", "batch_no", "row_id", "item_no", "id", "realm"]
-    ranged = classes_of(rows, keys, text=False).orderBy("batch_no", "row_id", "item_no")
-    numbered = ranged.withColumn("ord", F.monotonically_increasing_id())
-    items = durable(numbered.select("ord", "kind", "row_id", "item_no", F.concat("kind", F.lit(" "), "id").alias("id"), "cls"), "items")
-    texts = classes_of(rows.where("text IS NOT NULL"), ["realm"]).where("cls IS NOT NULL")
-    classes = durable(texts.groupBy("cls", "realm").agg(F.first("text").alias("text")), "classes")
-    accepted = accept_in_order(items.select("ord", "id", "cls"), alike_links(classes))
-    return items.join(accepted, "ord", "left_anti").select("kind", "row_id", "item_no")
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
+    rows = rows.withColumn("id", F.concat("kind", F.lit(" "), "id"))
+    arrived = scratch.keep(rows, "arrived", by="batch_no")
+    numbers = sorted((r[0] for r in arrived.select("batch_no").distinct().collect()), key=lambda n: (n is not None, n))  # a row a batch
+    index = SegmentIndex(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
+    out = rows.select("kind", "row_id", "item_no").where("false")
+    for n in numbers:
+        out = out.unionAll(index.admit(arrived.where(F.col("batch_no").eqNullSafe(n))))
+    scratch.drop()
+    return out
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = batch_items(table(spark, sf_dir, "exported_embedding"), table(spark, sf_dir, "exported_session"))
-    return repeats(rows).withColumn("row_id", F.col("row_id").cast("long")).withColumn("item_no", F.col("item_no").cast("int"))
+    return repeats(rows).select("kind", F.col("row_id").cast("long").alias("row_id"), F.col("item_no").cast("int").alias("item_no"))
 
 
 QUERIES = {"p2_found": p2_found}

@@ -8,7 +8,7 @@ driver and broadcast, whatever the corpus), kept on a logarithmic scale.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +36,14 @@ def counts_of(levels: np.ndarray) -> np.ndarray:
     return STEP ** np.arange(256)[levels]
 
 
-def triple_levels(df: DataFrame, text: str = "text") -> np.ndarray:
-    """uint8[SLOTS]: the level of each slot, over all rows of ``df``."""
+def triple_levels(df: DataFrame, text: str = "text", sets: Callable = triple_sets) -> np.ndarray:
+    """uint8[SLOTS]: the level of each slot, over all rows of ``df``; ``sets`` gives the triples of its column."""
     size = SLOTS // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.uint32)
         for b in slices(batches):
-            values, _ = triple_sets(b.column(0))
+            values, _ = sets(b.column(0))
             total += np.bincount(slot_of(values), minlength=SLOTS).astype(np.uint32)
         for i in range(0, BLOCKS, 8):  # small counts in one byte, the few large ones apart
             parts = [total[k * size : (k + 1) * size] for k in range(i, i + 8)]

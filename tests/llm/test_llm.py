@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import shutil
 from pathlib import Path
 
 import numpy as np
@@ -107,38 +108,67 @@ def test_repeats_against_sequential(spark):
     assert history.repeats(df.where("false")).count() == 0
 
 
-def test_segment_index_probes_only_new_batches(spark, tmp_path):
-    texts = [t for t in corpus(60, 5) if triple_set(t)]
-    df = spark.createDataFrame([(t, 0) for t in texts], "text string, realm int")
-    classes = history.classes_of(df, ["realm"]).groupBy("cls", "realm").agg(F.first("text").alias("text")).cache()
-    half = classes.where("pmod(cls, 2) = 0"), classes.where("pmod(cls, 2) = 1")
-    index = history.SegmentIndex(spark, str(tmp_path))
-    assert index.probe(half[0]).count() == 0
-    index.append(half[0])
-    got = {(r["x"], r["y"]) for r in index.probe(half[1]).collect()}
-    new, old = ([(r["cls"], r["text"]) for r in h.collect()] for h in half[::-1])
-    assert got == {(a, b) for a, s in new for b, t in old if is_alike(s, t)}
+def strings_of(spark, index, texts):
+    rows = spark.createDataFrame([(t, 0) for t in texts], "text string, realm int")
+    classes = history.hashed(rows, ["text", "realm"]).where("cls IS NOT NULL").dropDuplicates(["cls"]).cache()
+    return history.canonical(classes, index.order(classes)).cache(), {r["cls"]: r["text"] for r in classes.collect()}
 
 
 def test_segment_index_opened_again(spark, tmp_path):
     texts = [t for t in corpus(400, 6) if triple_set(t)]
-    df = spark.createDataFrame([(t, 0) for t in texts], "text string, realm int")
-    classes = history.classes_of(df, ["realm"]).groupBy("cls", "realm").agg(F.first("text").alias("text")).cache()
-    third = [classes.where(f"pmod(cls, 3) = {i}") for i in range(3)]
+    nobody = spark.createDataFrame([], "id string")
     early = history.SegmentIndex(spark, str(tmp_path))
-    history.SegmentIndex(spark, str(tmp_path)).append(third[0])
-    rows = [[(r["cls"], r["text"]) for r in t.collect()] for t in third]
-    first = {(a, b) for a, s in rows[1] for b, t in rows[0] if is_alike(s, t)}
-    for index in (early, history.SegmentIndex(spark, str(tmp_path))):
-        assert first and {(r["x"], r["y"]) for r in index.probe(third[1]).collect()} == first
-    history.SegmentIndex(spark, str(tmp_path)).append(third[1])
-    got = {(r["x"], r["y"]) for r in history.SegmentIndex(spark, str(tmp_path)).probe(third[2]).collect()}
-    assert got == {(a, b) for a, s in rows[2] for b, t in rows[0] + rows[1] if is_alike(s, t)}
+    assert early.stored() == {}
+    first = history.SegmentIndex(spark, str(tmp_path))
+    strings, old = strings_of(spark, first, texts[::3])
+    assert first.probe(strings).count() == 0
+    first.append(strings, nobody)
+    for index in (early, history.SegmentIndex(spark, str(tmp_path), buckets=99)):  # the stored number of buckets holds
+        index.stored()
+        strings, new = strings_of(spark, index, texts[1::3])
+        want = {(a, b) for a, s in new.items() for b, t in old.items() if is_alike(s, t) and a != b}
+        assert want and {(r["x"], r["y"]) for r in index.probe(strings.where(~F.col("cls").isin(list(old)))).collect()} == {w for w in want if w[0] not in old}
     (tmp_path / "levels").rename(tmp_path / "lost")
     with pytest.raises(ValueError):
         history.SegmentIndex(spark, str(tmp_path))
 
 
+def test_batches_admitted_by_an_index_opened_each_time(spark, tmp_path):
+    r, texts = random.Random(9), [t for t in corpus(160, 7)]
+    rows = [("a", i, 0, r.choice([None, f"{r.randint(0, 90):x}"]), 0, t) for i, t in enumerate(texts)]
+    size, got = 40, set()
+    for k in range(0, len(rows), size):
+        source = str(tmp_path / f"batch{k}")
+        spark.createDataFrame(rows[k : k + size], "kind string, row_id long, item_no int, id string, realm int, text string").write.parquet(source)
+        index = history.SegmentIndex(spark, str(tmp_path / "index"))
+        got |= {x["row_id"] for x in index.admit(spark.read.parquet(source)).collect()}
+        shutil.rmtree(source)  # no text of an earlier batch is read again
+    assert got == in_order([(x[1], x[3], x[5]) for x in rows])
+    kept = {f.name: spark.read.parquet(str(f)).columns for f in (tmp_path / "index").iterdir()}
+    assert set(kept) == {"levels", "commits", "segments", "strings", "ids"} and not any("text" in c for c in kept.values())
+
+
+def test_what_a_broken_append_leaves_is_not_read(spark, tmp_path):
+    texts = [t for t in corpus(60, 8) if triple_set(t)]
+    index = history.SegmentIndex(spark, str(tmp_path))
+    strings, _ = strings_of(spark, index, texts)
+    index.append(strings.limit(5), spark.createDataFrame([("a",)], "id string"))
+    n = {k: v.count() for k, v in index.stored().items()}
+    broken = history.segments(strings).withColumn("part", F.lit(1).cast("long"))
+    broken.write.insertInto(index._table("segments"))
+    assert {k: v.count() for k, v in index.stored().items()} == n
+
+
+def test_stored_segments_are_not_shuffled(spark, tmp_path):
+    texts = [t for t in corpus(60, 8) if triple_set(t)]
+    index = history.SegmentIndex(spark, str(tmp_path), buckets=4)
+    strings, _ = strings_of(spark, index, texts)
+    index.append(strings, spark.createDataFrame([], "id string"))
+    plan = history.meet(history.probes(strings), index.stored()["segments"].hint("merge"))._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan ==") :]
+    assert "SelectedBucketsCount: 4 out of 4" in plan and plan.count("Exchange hashpartitioning(segment") == 1  # of the probing side
+
+
 def test_accept_long_chain(spark):
     items = spark.createDataFrame([(i, None, i) for i in range(12)], "ord long, id string, cls long")
     links = spark.createDataFrame([(i, i + 1) for i in range(11)], "x long, y long")
