@@ -6,6 +6,9 @@ its lineage in the shared folder every round, and never collect nodes or edges t
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,11 +109,12 @@ def grouped_relations(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relation").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
-def distances(edges: DataFrame, start: DataFrame, most: int, directed: bool = False, same_session: bool = True) -> DataFrame:
+def distances(edges: DataFrame, start: DataFrame, most: int | None = None, directed: bool = False, same_session: bool = True) -> DataFrame:
     """Breadth first from each row of ``start`` (origin and node, with session_id): node, depth, parent.
 
     Every round joins the frontier with the edges, keeps one parent (the first by name) per new node
-    and drops nodes met before by an anti join on the visited table.
+    and drops nodes met before by an anti join on the visited table, until none is new or ``most``
+    steps are made.
     """
     keys = ["session_id"] if same_session else []
     e = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next")) if directed else symmetric(edges).select(*keys, "node", F.col("other").alias("next"))
@@ -118,7 +122,7 @@ def distances(edges: DataFrame, start: DataFrame, most: int, directed: bool = Fa
     found = durable(start.select(*keys, "origin", "node").distinct().withColumn("depth", F.lit(0)).withColumn("parent", F.lit(None).cast("string")), "visited")
     frontier = found
     ids = [*keys, "origin", "node"]
-    for depth in range(1, most + 1):
+    for depth in range(1, most + 1) if most is not None else count(1):
         step = frontier.select(*keys, "origin", "node").join(e, [*keys, "node"])
         step = step.groupBy(*keys, "origin", F.col("next").alias("to")).agg(F.min("node").alias("parent"))
         step = step.select(*keys, "origin", F.col("to").alias("node"), F.lit(depth).alias("depth"), "parent")
@@ -129,22 +133,26 @@ def distances(edges: DataFrame, start: DataFrame, most: int, directed: bool = Fa
     return found
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 10, directed: bool = True) -> DataFrame:
-    """session_id, origin, target, path: one shortest path per pair (the first by parents' names)."""
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int | None = None, directed: bool = True) -> DataFrame:
+    """session_id, origin, target, path: one shortest path per pair (the first by parents' names).
+
+    Paths of any length, or of at most ``most`` steps. Paths are walked back from the targets, one
+    step of all of them a round; finished ones are written and not carried on.
+    """
     start = pairs.select("session_id", "origin", F.col("origin").alias("node"))
-    d = distances(edges, start, most, directed)
-    d = durable(d, "distances")
-    walk = pairs.select("session_id", "origin", "target").join(d.select("session_id", "origin", F.col("node").alias("target"), "depth", "parent"), ["session_id", "origin", "target"])
+    d = durable(distances(edges, start, most, directed), "distances")
+    walk = pairs.select("session_id", "origin", "target").join(d.select("session_id", "origin", F.col("node").alias("target"), "parent"), ["session_id", "origin", "target"])
     walk = walk.withColumn("path", F.array("target"))
     back = d.select("session_id", "origin", F.col("node").alias("__at"), F.col("parent").alias("__up"))
-    done = None
-    for _ in range(most + 1):
-        ended = walk.where("parent IS NULL").select("session_id", "origin", "target", "path")
-        done = ended if done is None else done.unionByName(ended)
-        walk = walk.where("parent IS NOT NULL")
-        walk = walk.withColumn("path", F.concat(F.array("parent"), "path")).withColumnRenamed("parent", "__at").join(back, ["session_id", "origin", "__at"])
-        walk = walk.select("session_id", "origin", "target", "depth", F.col("__up").alias("parent"), "path")
-    return done
+    done = []
+    while True:
+        walk = durable(walk, "walk")
+        done.append(walk.where("parent IS NULL").select("session_id", "origin", "target", "path"))
+        left = walk.where("parent IS NOT NULL")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        left = left.withColumn("path", F.concat(F.array("parent"), "path")).withColumnRenamed("parent", "__at")
+        walk = left.join(back, ["session_id", "origin", "__at"]).select("session_id", "origin", "target", F.col("__up").alias("parent"), "path")
 
 
 def network(edges: DataFrame, start: DataFrame, depth: int = 2, rim_edges: bool = True) -> tuple[DataFrame, DataFrame]:

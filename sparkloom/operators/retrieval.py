@@ -80,7 +80,7 @@ class ResultCache:
 
     A result is found if its arguments are equal (vectors by their hash) and it is younger than
     ``ttl``; the one used least for its age goes first. ``drop`` forgets what concerns a session, as
-    after new updates. What is kept are rows of finished searches, at most ``rows`` each."""
+    after new updates. What is kept are rows of finished searches; one of more than ``rows`` is refused."""
 
     def __init__(self, size: int = 1000, ttl: float = 1800.0, rows: int = 1000, clock: Callable[[], float] = time.time):
         self.size, self.ttl, self.rows, self.clock = size, ttl, rows, clock
@@ -101,7 +101,9 @@ class ResultCache:
             found[2] += 1
             return found[0]
         self.misses += 1
-        rows = run().limit(self.rows).collect()
+        rows = run().limit(self.rows + 1).collect()
+        if len(rows) > self.rows:
+            raise ValueError(f"more than {self.rows} rows; limit the search or raise the bound")
         self.kept[key] = [rows, now, 1, arguments.get("session_id")]
         if len(self.kept) > self.size:
             del self.kept[min(self.kept, key=lambda k: self.kept[k][2] / (1 + now - self.kept[k][1]) if k != key else float("inf"))]

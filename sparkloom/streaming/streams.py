@@ -7,6 +7,7 @@ time stamp, not the last arrival.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -85,14 +86,13 @@ def index_new(stream: DataFrame, seen: Callable[[], DataFrame], write: Callable[
 def run_to_table(df: DataFrame, name: str, mode: str) -> DataFrame:
     """Run a streaming DataFrame over all that is there and return its result as a table.
 
-    ``complete`` keeps the last state of the whole result, ``append`` collects what is emitted."""
-    import uuid
-
+    ``complete`` keeps the last state of the whole result, ``append`` collects what is emitted. A
+    micro-batch that is run again replaces what it wrote before."""
     spark, base = df.sparkSession, f"{shared_dir(df.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
 
     def batch(out: DataFrame, number: int) -> None:
-        out.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/table")
+        out.write.mode("overwrite").parquet(f"{base}/table" if mode == "complete" else f"{base}/table/_batch={number}")
 
     q = df.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/table")
+    return spark.read.schema(df.schema).parquet(f"{base}/table").select(*df.columns)

@@ -38,6 +38,13 @@ def test_paths(spark):
     assert both == {"a": ["a", "b", "d"], "d": ["d", "b", "a"]}
 
 
+def test_paths_of_any_length(spark):
+    e = edges(spark, *((f"n{i:02}", f"n{i + 1:02}") for i in range(13)))
+    pairs = spark.createDataFrame([("s", "n00", "n13"), ("s", "n00", "n02"), ("s", "n05", "none")], "session_id string, origin string, target string")
+    assert {r["target"]: len(r["path"]) for r in graph.shortest_paths(e, pairs).collect()} == {"n13": 14, "n02": 3}
+    assert {r["target"] for r in graph.shortest_paths(e, pairs, most=4).collect()} == {"n02"}
+
+
 def test_components(spark):
     e = edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"))
     strong = {r["node"]: r["component"] for r in graph.components(e, strong=True).collect()}
@@ -147,6 +154,38 @@ def test_store(spark, tmp_path):
         s.add_to_workspace("w", "s1", "boss")
 
 
+def test_store_reads_the_last_version_before_it_filters(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"), buckets=4)
+    for name in ("old", "new"):
+        s.write("session", spark.createDataFrame([("s1", name)], "session_id string, name string"))
+    assert s.read("session", name="old").count() == 0 and not s.exists("session", name="old")
+    assert s.read("session", session_id="s1", name="new").count() == 1
+    s.compact("session", buckets=2)
+    assert s.read("session", session_id="s1").count() == 1 and len(s._generations("session")) == 1
+    half = tmp_path / "store" / "session" / "generation-9-2"  # a rewrite that didn't end
+    half.mkdir()
+    assert s.read("session").count() == 1
+
+
+def test_store_deletes_what_belongs_to_a_session(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    s.write("session", spark.createDataFrame([("s1", "a"), ("s2", "b")], "session_id string, name string"))
+    s.write("update", spark.createDataFrame([("s1", "u1"), ("s2", "u2")], "session_id string, update_id string"))
+    s.write("workspace", spark.createDataFrame([("w", "n")], "workspace_id string, name string"))
+    s.add_to_workspace("w", "s1")
+    s.add_to_workspace("w", "s2")
+    s.checkpoint("c1", "s1")
+    s.checkpoint("c2", "s2")
+    assert {(r["checkpoint_id"], r["updates"]) for r in s.checkpoints().collect()} == {("c1", 1), ("c2", 1)}
+    s.delete("session", spark.createDataFrame([("s1",)], "session_id string"))
+    assert [r["update_id"] for r in s.read("update").collect()] == ["u2"]
+    assert [r["session_id"] for r in s.read("workspace_session").collect()] == ["s2"]
+    s.remove_from_workspace("w", "s2")
+    assert not s.exists("workspace_session", workspace_id="w") and s.exists("workspace", workspace_id="w")
+    s.delete_workspace("w")
+    assert not s.exists("workspace")
+
+
 def test_versions():
     assert export.compatible("1.0.0") and export.compatible("1.2.0")
     assert not export.compatible("1.3.0") and not export.compatible("2.0.0") and not export.compatible("x")
@@ -186,6 +225,9 @@ def test_cache():
     for v in range(5):
         c.search(Frame, [float(v)])
     assert len(c.kept) == 2
+    c.rows = 0
+    with pytest.raises(ValueError):
+        c.search(Frame, [9.0])
 
 
 def test_hashed_vectors(spark):
