@@ -3,8 +3,10 @@
 Directions are put in cells by their nearest centroids. In each cell the vectors at home there are
 compared with the codes of all vectors near it: the residual to the centroid is a product code of
 ``PARTS`` four-bit codewords, chosen to penalise the error along the vector (which changes high
-inner products) more than the error across it. Pairs that score near the bound are computed again
-from the vectors themselves, in the same task where both are at home there, by a join otherwise.
+inner products) more than the error across it. A query has a table of its products with all
+codewords in a few bits each; the scan looks two codes up at a time and adds. What scores near the
+bound is computed again from the vectors themselves: in the task where both are at home there, of
+which only the best of each query leave it, and by a join otherwise, for the best scores of each.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ SAMPLE = 65_536
 PER_CELL = 32
 #: Rows of one side that one task compares at once; larger cells are split into blocks.
 QUERY_BLOCK, INDEX_BLOCK = 4096, 32_768
+#: Rows of either side of one table scan, and the largest entry of a table by part.
+SCAN_QUERIES, SCAN_ROWS, ENTRY = 256, 4096, 31
+#: Scores of each vector that a task passes on where its vectors are not at home in one cell.
+RERANK = 32
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -122,9 +128,52 @@ class Quantiser:
         noise -= (noise * y).sum(1, keepdims=True) * y
         noise /= np.linalg.norm(noise, axis=1, keepdims=True)
         q = least * y + np.sqrt(1 - least**2) * noise
-        rest = y - self.cells[home[some]]
-        score = ((self.cells[home[some]] + decode(encode(y, rest, self.book), self.book)) * q).sum(1)
-        self.bound = float(least - max(0.03, np.quantile(least - score, 0.9998)))
+        code = encode(y, y - self.cells[home[some]], self.book)
+        score = np.concatenate([self._table_scores(q[i : i + 2048], code[i : i + 2048]) for i in range(0, len(q), 2048)])
+        score += (self.cells[home[some]] * q).sum(1)
+        self.slack = float(max(0.03, np.quantile(least - score, 0.9998)))
+        self.bound = least - self.slack
+
+    def entries(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(products of each query with all codewords as whole numbers [part, code, query] up to ENTRY,
+        what to add to their sum, and their unit, by query)."""
+        e = np.einsum("qpd,pkd->pkq", _parts(q), self.book, optimize=True)
+        low, high = e.min(1), e.max(1)
+        step = np.maximum((high - low).max(0) / ENTRY, 1e-9)
+        return np.rint((e - low[:, None]) / step).astype(np.uint8), low.sum(0), step
+
+    def _table_scores(self, q: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The product of each query with the residual that its own code stands for, by its table."""
+        e, base, step = self.entries(q)
+        return base + step * e[np.arange(PARTS)[:, None], code.T, np.arange(len(q))].sum(0, dtype=np.int64)
+
+    def scan(self, q: np.ndarray, packed: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row of ``q``, row of ``packed``, score) of all pairs that score at least the bound, block by
+        block; ``packed`` [byte, row] has two codes a byte, and rows of one ``home`` lie together."""
+        starts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
+        for i in range(0, len(q), SCAN_QUERIES):
+            part = q[i : i + SCAN_QUERIES]
+            e, base, step = self.entries(part)
+            table = (e[0::2][:, :, None] + e[1::2][:, None]).reshape(PARTS // 2, CODES * CODES, len(part))
+            near = self.cells[home[starts]] @ part.T + base  # by home
+            least = np.clip(np.ceil((self.bound - near) / step), 0, 65_535).astype(np.uint16)
+            for j in range(0, packed.shape[1], SCAN_ROWS):
+                codes = packed[:, j : j + SCAN_ROWS]
+                n = codes.shape[1]
+                total, four, one = (np.zeros((n, len(part)), t) for t in (np.uint16, np.uint8, np.uint8))
+                for b in range(0, PARTS // 2, 4):  # four sums of two entries fit in a byte
+                    np.take(table[b], codes[b], axis=0, out=four)
+                    for c in range(b + 1, b + 4):
+                        np.take(table[c], codes[c], axis=0, out=one)
+                        four += one
+                    total += four
+                at = np.searchsorted(starts, np.arange(j, j + n), "right") - 1
+                hit = np.empty(total.shape, bool)
+                for h in range(at[0], at[-1] + 1):
+                    own = slice(max(starts[h] - j, 0), (starts[h + 1] if h + 1 < len(starts) else packed.shape[1]) - j)
+                    np.greater_equal(total[own], least[h], out=hit[own])
+                xi, qi = np.nonzero(hit)
+                yield qi + i, xi + j, near[at[xi], qi] + step[qi] * total[xi, qi]
 
     def near(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest cells of each unit vector, nearest first."""
@@ -164,11 +213,88 @@ def fit(classes: DataFrame, least: float) -> Quantiser | None:
     return Quantiser(sample, cells, least)
 
 
-def close_pairs(classes: DataFrame, least: float) -> DataFrame:
-    """a < b, cosine (rounded to 6 decimals): pairs of classes with a cosine of at least ``least``.
-
-    ``classes`` has cls BIGINT (unique) and a valid vector, and is read several times: pass a
-    written table. Every class is indexed and every class is a query.
+def best(group: np.ndarray, score: np.ndarray, then: np.ndarray, n: int) -> np.ndarray:
+    """bool: the ``n`` highest scores of each group, of equal ones those with the least ``then``."""
+    keep = np.zeros(len(group), bool)
+    if len(group):
+        order = np.lexsort((then, -score, group))
+        g = group[order]
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        nth = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
+        keep[order[nth < n]] = True
+    return keep
+
+
+class Candidates:
+    """Rows of (group, other, score, then), of each group the ``n`` best so far; as many are held at most."""
+
+    def __init__(self, n: int):
+        self.n, self.rows, self.size = n, [np.empty((0,), np.int64)] * 2 + [np.empty(0)] + [np.empty((0,), np.int64)], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        if len(columns[0]) > 4 * self.n:
+            keep = best(columns[0], columns[2], columns[3], self.n)
+            columns = tuple(c[keep] for c in columns)
+        self.rows = [np.concatenate(x) for x in zip(self.rows, columns)]
+        if len(self.rows[0]) > 2 * self.size + 100_000:
+            self.prune()
+
+    def prune(self) -> list[np.ndarray]:
+        keep = best(self.rows[0], self.rows[2], self.rows[3], self.n)
+        self.rows = [c[keep] for c in self.rows]
+        self.size = len(self.rows[0])
+        return self.rows
+
+
+def scan_cell(index: Quantiser, q: pd.DataFrame, x: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
+    """a, b, cosine of what the vectors at home in a cell (q: cls, vector) have near it (x: cls, first,
+    home, code, vector if it is needed). Of those at home too, the k + 1 closest of each query with
+    their cosine; of others, the RERANK best scores of each query and of each other, without one."""
+    x = x.sort_values("home", kind="stable")
+    exact = unit(np.stack(q["vector"].to_numpy()))
+    qc, xc, first, home = q["cls"].to_numpy(), x["cls"].to_numpy(), x["first"].to_numpy(), x["home"].to_numpy()
+    cell = int(q["cell"].iloc[0])
+    packed = np.ascontiguousarray(np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1).T)
+    order = np.argsort(qc)
+    at = np.minimum(np.searchsorted(qc, xc, sorter=order), len(qc) - 1)
+    at = np.where(qc[order[at]] == xc, order[at], -1)  # the other's row among the queries
+    own = np.flatnonzero((home == cell) & (at < 0))  # at home in another block of this cell
+    vectors = exact if not len(own) else np.concatenate([exact, unit(np.stack(x["vector"].to_numpy()[own]))])
+    at[own] = len(exact) + np.arange(len(own))
+    sure, byq, byx = Candidates(k + 1), Candidates(RERANK), Candidates(RERANK)
+    for qi, xi, score in index.scan(exact.astype(np.float32), packed, home):
+        other = qc[qi] != xc[xi]
+        here = other & (at[xi] >= 0)
+        qo, xo = qi[here], xi[here]
+        if len(qo) > 0.05 * SCAN_QUERIES * SCAN_ROWS:  # dense: one product for all
+            low, wide = qi.min(), np.unique(xo)
+            cosine = (exact[low : qi.max() + 1] @ vectors[at[wide]].T)[qo - low, np.searchsorted(wide, xo)].round(6)
+        else:
+            cosine = np.concatenate([[0.0], *((exact[qo[j : j + 8192]] * vectors[at[xo[j : j + 8192]]]).sum(1) for j in range(0, len(qo), 8192))])[1:].round(6)
+        ok = cosine >= least
+        sure.add(qo[ok], xo[ok], cosine[ok], first[xo[ok]])
+        far = other & ~here
+        byq.add(qi[far], xi[far], score[far], first[xi[far]])
+        byx.add(xi[far], qi[far], score[far], qi[far])
+    qo, xo, cosine, _ = sure.prune()
+    full = np.full(len(qc), -1.0)  # a query with k + 1 closer ones needs no lower score
+    lowest = np.full(len(qc), np.inf)
+    np.minimum.at(lowest, qo, cosine)
+    many = np.bincount(qo, minlength=len(qc)) > k
+    full[many] = lowest[many] - index.slack
+    (qf, xf, score, _), (xb, qb, _, _) = byq.prune(), byx.prune()
+    need = score >= full[qf]
+    pairs = [(qc[qo], xc[xo], cosine), (qc[qf[need]], xc[xf[need]], np.nan), (qc[qb], xc[xb], np.nan)]
+    return pd.concat([pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": c}) for a, b, c in pairs])
+
+
+def close_pairs(classes: DataFrame, least: float, k: int) -> DataFrame:
+    """a < b, cosine (rounded to 6 decimals): pairs of classes with a cosine of at least ``least``,
+    among which are the k + 1 closest of each class.
+
+    ``classes`` has cls BIGINT (unique), first BIGINT (by which equal cosines are ordered) and a valid
+    vector, and is read several times: pass a written table. Every class is indexed and every class
+    is a query; what is written grows with their number, not with that of close pairs.
     """
     spark = classes.sparkSession
     index = fit(classes, least)
@@ -181,21 +307,25 @@ def close_pairs(classes: DataFrame, least: float) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 part = b.slice(i, 2048)
-                x = unit(_matrix(part.column(1))).astype(np.float32)
+                x = unit(_matrix(part.column(2))).astype(np.float32)
                 near = sent.value.near(x, SPILL)
                 code = encode(x, x - sent.value.cells[near[:, 0]], sent.value.book)
                 packed = (code[:, 0::2] << 4) | code[:, 1::2]
                 codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PARTS // 2), len(x), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
                 flat = near.astype(np.int32).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * near.shape[1]), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, codes], names=["cls", "vector", "near", "code"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, codes], names=["cls", "first", "vector", "near", "code"])
 
-    placed = durable(classes.select("cls", "vector").mapInArrow(place, "cls long, vector array<float>, near array<int>, code binary"), "placed")
-    homes = placed.select(F.col("near")[0].alias("cell"), "cls", "vector", "code")
-    spilled = placed.select(F.posexplode("near").alias("nth", "cell"), F.col("near")[0].alias("home"), "cls", "code")
-    sizes = spilled.groupBy("cell").agg(F.count("*").alias("x"), F.count(F.when(F.col("nth") == 0, 1)).alias("q")).collect()  # a row per cell
+    placed = durable(classes.select("cls", "first", "vector").mapInArrow(place, "cls long, first long, vector array<float>, near array<int>, code binary"), "placed")
+    homes = placed.select(F.col("near")[0].alias("cell"), "cls", "vector")
+    sizes = placed.select(F.posexplode("near").alias("nth", "cell"))
+    sizes = sizes.groupBy("cell").agg(F.count("*").alias("x"), F.count(F.when(F.col("nth") == 0, 1)).alias("q")).collect()  # a row per cell
     qs = {r["cell"]: -(-r["q"] // QUERY_BLOCK) for r in sizes if r["q"] > QUERY_BLOCK}
     xs = {r["cell"]: -(-r["x"] // INDEX_BLOCK) for r in sizes if r["x"] > INDEX_BLOCK}
+    # where a cell's queries are in several blocks, the others' vectors are sent along
+    vector = F.when((F.col("nth") == 0) & F.col("cell").isin(list(qs)), F.col("vector")).alias("vector") if qs else F.lit(None).cast("array<float>").alias("vector")
+    spilled = placed.select(F.posexplode("near").alias("nth", "cell"), F.col("near")[0].alias("home"), "cls", "first", "code", *["vector"] * bool(qs))
+    spilled = spilled.select("cell", "home", "cls", "first", "code", vector)
 
     def blocks(of: dict, name: str):
         count = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in of.items() for v in kv)), F.col("cell")), F.lit(1)) if of else F.lit(1)
@@ -203,36 +333,12 @@ def close_pairs(classes: DataFrame, least: float) -> DataFrame:
 
     (all_q, own_q), (all_x, own_x) = blocks(qs, "qb"), blocks(xs, "xb")
     queries = homes.select("cell", own_q, "cls", "vector").select("*", all_x)
-    spilled = spilled.select("cell", own_x, "home", "cls", "code").select("*", all_q)
+    spilled = spilled.select("cell", own_x, "home", "cls", "first", "code", "vector").select("*", all_q)
 
     def scan(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "cosine": np.empty(0)})
         if q.empty or x.empty:
-            return empty
-        index = sent.value
-        exact = unit(np.stack(q["vector"].to_numpy()))
-        rough, qc, xc = exact.astype(np.float32), q["cls"].to_numpy(), x["cls"].to_numpy()
-        order = np.argsort(qc)
-        at = np.minimum(np.searchsorted(qc, xc, sorter=order), len(qc) - 1)
-        at = np.where(qc[order[at]] == xc, order[at], -1)  # where the other is at home here too
-        packed = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1)
-        home = x["home"].to_numpy()
-        out = []
-        for i in range(0, len(x), 2048):
-            code = np.stack([packed[i : i + 2048] >> 4, packed[i : i + 2048] & 15], axis=2).reshape(-1, PARTS)
-            words = index.cells[home[i : i + 2048]] + decode(code, index.book)
-            # all queries' tables summed over all codes at once
-            qi, xi = np.nonzero(rough @ words.T >= index.bound)
-            xi += i
-            here = at[xi] >= 0
-            once = here & (qc[qi] < xc[xi])
-            qo, xo = qi[once], at[xi[once]]
-            cosine = np.concatenate([[0.0], *((exact[qo[j : j + 8192]] * exact[xo[j : j + 8192]]).sum(1) for j in range(0, len(qo), 8192))])[1:].round(6)
-            ok = cosine >= least
-            out.append(pd.DataFrame({"a": qc[qo][ok], "b": qc[xo][ok], "cosine": cosine[ok]}))
-            a, b = qc[qi[~here]], xc[xi[~here]]
-            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": np.nan}))  # becomes null
-        return pd.concat(out) if out else empty
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "cosine": np.empty(0)})
+        return scan_cell(sent.value, q, x, k, least)
 
     keys = ["cell", "qb", "xb"]
     found = queries.groupBy(*keys).cogroup(spilled.groupBy(*keys)).applyInPandas(scan, schema)
@@ -264,8 +370,9 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 5, least: float = 0
     """
     vectors = valid_vectors(rows, key, vector).withColumn("cls", F.xxhash64("vector"))
     member = durable(vectors.groupBy("key").agg(F.max("cls").alias("cls")), "members")
-    classes = durable(vectors.groupBy("cls").agg(F.first("vector").alias("vector")), "classes")
-    pairs = durable(close_pairs(classes, least), "pairs")
+    start = F.conv(F.hex(F.rpad(F.substring(F.col("key").cast("binary"), 1, 7), 7, F.lit(b"\0"))), 16, 10).cast("long")
+    classes = durable(vectors.groupBy("cls").agg(F.first("vector").alias("vector"), F.min(start).alias("first")), "classes")
+    pairs = durable(close_pairs(classes, least, k), "pairs")
     by_key = Window.partitionBy("cls").orderBy("key")
     first = member.withColumn("nth", F.row_number().over(by_key)).where(F.col("nth") <= k + 1).select(F.col("cls").alias("x"), F.col("key").alias("other"))
     both = pairs.select(F.col("a").alias("q"), F.col("b").alias("x"), "cosine").unionAll(pairs.select(F.col("b").alias("q"), F.col("a").alias("x"), "cosine"))

@@ -7,6 +7,7 @@ import shutil
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,8 +145,8 @@ def test_batches_admitted_by_an_index_opened_each_time(spark, tmp_path):
         got |= {x["row_id"] for x in index.admit(spark.read.parquet(source)).collect()}
         shutil.rmtree(source)  # no text of an earlier batch is read again
     assert got == in_order([(x[1], x[3], x[5]) for x in rows])
-    kept = {f.name: spark.read.parquet(str(f)).columns for f in (tmp_path / "index").iterdir()}
-    assert set(kept) == {"levels", "commits", "segments", "strings", "ids"} and not any("text" in c for c in kept.values())
+    kept = {f.name: spark.read.parquet(str(f)).columns for f in (tmp_path / "index").iterdir() if f.name not in ("begun", "commits")}
+    assert set(kept) == {"levels", "segments", "strings", "ids"} and not any("text" in c for c in kept.values())
 
 
 def test_what_a_broken_append_leaves_is_not_read(spark, tmp_path):
@@ -154,6 +155,7 @@ def test_what_a_broken_append_leaves_is_not_read(spark, tmp_path):
     strings, _ = strings_of(spark, index, texts)
     index.append(strings.limit(5), spark.createDataFrame([("a",)], "id string"))
     n = {k: v.count() for k, v in index.stored().items()}
+    index._mark("begun", 1)
     broken = history.segments(strings).withColumn("part", F.lit(1).cast("long"))
     broken.write.insertInto(index._table("segments"))
     assert {k: v.count() for k, v in index.stored().items()} == n
@@ -164,7 +166,7 @@ def test_stored_segments_are_not_shuffled(spark, tmp_path):
     index = history.SegmentIndex(spark, str(tmp_path), buckets=4)
     strings, _ = strings_of(spark, index, texts)
     index.append(strings, spark.createDataFrame([], "id string"))
-    plan = history.meet(history.probes(strings), index.stored()["segments"].hint("merge"))._jdf.queryExecution().toString()
+    plan = history.meet(history.probes(strings).hint("shuffle_hash"), index.stored()["segments"])._jdf.queryExecution().toString()
     plan = plan[plan.index("== Physical Plan ==") :]
     assert "SelectedBucketsCount: 4 out of 4" in plan and plan.count("Exchange hashpartitioning(segment") == 1  # of the probing side
 
@@ -238,6 +240,47 @@ def test_nearest_against_brute_force(spark):
     assert vectors.nearest(df.where("false"), "content_id", "vector").count() == 0
 
 
+def test_table_scan_scores():
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 128)).astype(np.float32)
+    index = vectors.Quantiser(x, 3, 0.85)
+    u = vectors.unit(x).astype(np.float32)
+    home = np.sort(index.near(u, 1)[:, 0])
+    u = u[np.argsort(index.near(u, 1)[:, 0], kind="stable")]
+    code = vectors.encode(u, u - index.cells[home], index.book)
+    packed = np.ascontiguousarray(((code[:, 0::2] << 4) | code[:, 1::2]).T)
+    index.bound = 0.1
+    got = {(q, r): s for b in index.scan(u[:300], packed, home) for q, r, s in zip(*b)}
+    true = u[:300] @ (index.cells[home] + vectors.decode(code, index.book)).T
+    assert all(abs(true[k] - s) < 0.05 for k, s in got.items()) and {(i, i) for i in range(300)} <= set(got)
+    assert {tuple(k) for k in np.argwhere(true > 0.15).tolist()} <= set(got)
+
+
+def test_nearest_in_one_dense_cluster(spark):
+    rng, n, k = np.random.default_rng(12), 5000, 5
+    x = (rng.standard_normal(128) + 0.3 * rng.standard_normal((n, 128))).astype(np.float32)
+    pdf = pd.DataFrame({"cls": np.arange(n), "first": np.arange(n), "vector": [v.tolist() for v in x]})
+    classes = spark.createDataFrame(pdf, "cls long, first long, vector array<float>").cache()
+    pairs = vectors.close_pairs(classes, 0.85, k).toPandas()
+    assert len(pairs) <= n * (k + 1 + 2 * vectors.SPILL * vectors.RERANK)  # not n * n
+    u = vectors.unit(x)
+    c = u @ u.T
+    np.fill_diagonal(c, -1)
+    want = {(min(i, j), max(i, j)) for i, row in enumerate(np.argpartition(-c, k, axis=1)[:, :k].tolist()) for j in row}
+    got = set(zip(pairs["a"].tolist(), pairs["b"].tolist()))
+    print(len(pairs), len(got & want) / len(want))
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_equal_cosines_take_the_smaller_key(spark):
+    x = np.zeros((40, 128), np.float32)
+    x[:, 0], x[np.arange(40), 1 + np.arange(40)] = 1, 0.1  # each pair has the same cosine
+    df = spark.createDataFrame([(f"{i:02}", v.tolist()) for i, v in enumerate(x)], "content_id string, vector array<float>")
+    got = {(r["content_a"], r["content_b"]) for r in vectors.nearest(df, "content_id", "vector", k=3).collect()}
+    want = {tuple(sorted((f"{i:02}", f"{j:02}"))) for i in range(40) for j in [j for j in range(5) if j != i][:3]}
+    assert got == want
+
+
 @pytest.mark.skipif(not TOK.exists(), reason="no vocabulary files")
 def test_bpe_against_library(spark, data):
     from tokenizers import Tokenizer
@@ -321,6 +364,8 @@ def test_residue(spark, data):
     df = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "doc_id long, text string")
     got = {r["doc_id"]: r["is_residue"] for r in residue.residue(df, model=model).collect()}
     assert got == {k: v[1] for k, v in cases.items()}
+    twice = residue.residue(df.unionAll(df).withColumn("h1", F.lit("clash")))  # fitted on these texts, copies measured once
+    assert twice.count() == 2 * len(cases) and {r["doc_id"]: r["is_residue"] for r in twice.collect() if r["doc_id"] in (5, 7, 8, 9)} == dict.fromkeys((5, 7, 8, 9), False)
     assert residue.residue(df.where("false"), model=model).count() == 0
 
 
@@ -331,8 +376,9 @@ def test_residue_is_fitted_on_all_rows(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     want = residue.fit(texts)
     for other in (df, df.orderBy(F.xxhash64("text")).repartition(3), df.unionAll(df.limit(600)), df.unionAll(spark.createDataFrame([(None,), ("",), ("short",)], "text string"))):
-        got = residue.fit_corpus(other)
+        got, forms = residue.fit_corpus(other)
+        assert forms.count() >= len(texts)
         assert np.array_equal(got.kinds, want.kinds) and np.array_equal(got.field, want.field)
         assert got.bounds == pytest.approx(want.bounds, abs=2 / residue.BINS_BY_1)
-    empty = residue.fit_corpus(df.where("false"))
+    empty, _ = residue.fit_corpus(df.where("false"))
     assert np.array_equal(empty.kinds, residue.fit([]).kinds) and empty.bounds == residue.fit([]).bounds
