@@ -135,6 +135,19 @@ def test_extraction(spark):
     assert [(r["entity"], r["kind"]) for r in found] == [("New York", "LOC")]
 
 
+def test_names_in_any_script(spark):
+    texts = [("a", "We built the cache with tokio and RocksDB using a lock-free queue for the http2 server"), ("b", "Заявките минават през QueryPlanner и кеша http2_pool, който е описан в `store.rs` и notes.md"), ("c", None), ("d", "")]
+    df = spark.createDataFrame(texts, "id string, text string")
+    got = {}
+    for r in extract.extract(df, "id").collect():
+        got.setdefault(r["id"], set()).add(r["name"])
+    assert {"tokio", "rocksdb", "lock-free", "http2"} <= got["a"] and not {"the", "and", "for", "with"} & got["a"]
+    assert {"queryplanner", "http2_pool", "store.rs", "notes.md", "заявките"} <= got["b"] and not {"който", "през", "и"} & got["b"]
+    assert set(got) == {"a", "b"}
+    said = spark.createDataFrame([('The strategy uses lazy loading. A definition "hash ring" of RingStore',), (None,)], "t string").select(extract.concepts(F.col("t")).alias("c"), extract.light_names(F.col("t")).alias("n")).collect()
+    assert {"hash ring", "ringstore", "lazy loading"} == set(said[0]["c"]) and "ringstore" in said[0]["n"] and said[1]["c"] is None
+
+
 def test_store(spark, tmp_path):
     s = Store(spark, str(tmp_path / "store"))
     u = spark.createDataFrame([("s1", "u1", "a"), ("s1", "u2", "b"), ("s2", "u3", "c")], "session_id string, update_id string, title string")
