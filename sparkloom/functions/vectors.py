@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +32,24 @@ def cosine(a: Column | str, b: Column | str, norm_a: Column | None = None, norm_
     return F.when(ok, dot(a, b) / (na * nb)).otherwise(0.0)
 
 
+def cosine_to(a: Column | str, query: Sequence[float]) -> Column:
+    """``cosine`` with one vector that is known when the plan is built: a matrix product per Arrow batch."""
+    q = np.asarray(query, np.float64)
+    size = float(np.linalg.norm(q))
+    unit = q / size if size > 0 else q * 0
+
+    def similarity(v: pa.Array) -> pa.Array:
+        fits = pc.fill_null(pc.equal(pc.list_value_length(v), len(unit)), False).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(v))
+        if fits.any():
+            x = v.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(unit)).astype(np.float64)
+            n = np.linalg.norm(x, axis=1)
+            out[fits] = np.divide(x @ unit, n, out=np.zeros(len(x)), where=n != 0)
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(similarity, "double")(_col(a))
+
+
 def euclidean(a: Column | str, b: Column | str) -> Column:
     gaps = F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") - y.cast("double"))
     return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x))

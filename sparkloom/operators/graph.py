@@ -248,6 +248,26 @@ def entity_context(entities_: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("session_id", "name", F.concat_ws(". ", F.col("name"), related, mentioned).alias("text"))
 
 
+def entity_description(typed: DataFrame, edges: DataFrame) -> DataFrame:
+    """``entity_context`` of typed entities, with their type behind the name."""
+    text = entity_context(typed, edges).withColumnRenamed("text", "__text")
+    out = typed.select("session_id", "name", "entity_type").join(text, ["session_id", "name"])
+    rest = F.expr("substring(__text, char_length(name) + 1)")
+    return out.select("session_id", "name", F.concat("name", F.lit(". Type: "), "entity_type", rest).alias("text"))
+
+
+def network_page(scored: DataFrame, edges: DataFrame, n_nodes: int = 50, n_edges: int = 100, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of one page of each session's network: ``n_nodes`` entities by score from
+    ``offset`` on, and the first ``n_edges`` edges among them in the nodes' order."""
+    w = Window.partitionBy("session_id").orderBy(F.col("score").desc_nulls_last(), "name")
+    nodes = scored.withColumn("nth", F.row_number().over(w)).where(f"nth <= {offset + n_nodes}").where(f"nth > {offset}")
+    at = nodes.select("session_id", "name", "nth")
+    inside = edges.join(at.select("session_id", F.col("name").alias("src"), F.col("nth").alias("i")), ["session_id", "src"])
+    inside = inside.join(at.select("session_id", F.col("name").alias("dst"), F.col("nth").alias("j")), ["session_id", "dst"])
+    w = Window.partitionBy("session_id").orderBy("i", "j", "relation")
+    return nodes, inside.withColumn("nth", F.row_number().over(w)).where(f"nth <= {n_edges}").select("session_id", "src", "dst", "relation", "nth")
+
+
 # -- retrieval enriched by the graph ---------------------------------------------------------------
 
 
@@ -260,13 +280,33 @@ def text_entities(texts: DataFrame, entities_: DataFrame, key: str, text: str =
     return words.join(entities_.select("session_id", "name", F.lower("name").alias("w")), ["session_id", "w"]).select(key, "session_id", "name").distinct()
 
 
-def relevance(hits: DataFrame, query_entities: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """key, relevance: 100 for each entity of the query itself, 50 for each of its neighbours, and
-    20 or 10 for nodes two or three steps away."""
-    start = query_entities.select("session_id", F.lit("q").alias("origin"), F.col("name").alias("node"))
-    d = distances(edges, start, 3).select("session_id", F.col("node").alias("name"), "depth")
-    points = F.when(F.col("depth") == 0, 100).when(F.col("depth") == 1, 50).when(F.col("depth") == 2, 20).otherwise(10)
-    return hits.join(d, ["session_id", "name"]).groupBy(key).agg(F.sum(points).alias("relevance"))
+#: Points of a relation for what it leads to, for its type (the first of PRIORITY) and its depth.
+TO_QUERY, TO_NEIGHBOUR, BY_TYPE, BY_DEPTH = 100, 50, (30, 20, 10), {1: 20, 2: 10}
+
+
+def relevance(relations: DataFrame, query_entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """The relations (session_id, relation, node, depth and any more) with their relevance to the
+    entities of a query (session_id, name): whether they lead to one of them or to a neighbour of
+    one, in any case, their type and their depth. Without entities in a session it is null there."""
+    q = query_entities.select("session_id", F.lower("name").alias("__n")).distinct()
+    own = symmetric(edges).select("session_id", "node", F.lower("other").alias("__o"))
+    near = own.join(query_entities.select("session_id", F.col("name").alias("node")).distinct(), ["session_id", "node"], "left_semi")
+    near = near.select("session_id", F.col("__o").alias("__n")).distinct().withColumn("__near", F.lit(TO_NEIGHBOUR))
+    some = q.select("session_id").distinct().withColumn("__some", F.lit(True))
+    out = relations.withColumn("__n", F.lower("node")).join(q.withColumn("__hit", F.lit(TO_QUERY)), ["session_id", "__n"], "left")
+    out = out.join(near, ["session_id", "__n"], "left").join(some, "session_id", "left")
+    kind, depth = F.lit(0), F.lit(0)
+    for name, points in zip(PRIORITY, BY_TYPE):
+        kind = F.when(plain_relation(F.col("relation")) == name, points).otherwise(kind)
+    for n, points in BY_DEPTH.items():
+        depth = F.when(F.col("depth") == n, points).otherwise(depth)
+    total = F.coalesce("__hit", F.lit(0)) + F.coalesce("__near", F.lit(0)) + kind + depth
+    return out.withColumn("relevance", F.when(F.col("__some"), total)).drop("__n", "__hit", "__near", "__some")
+
+
+def relevant(relations: DataFrame, query_entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Relations of some relevance; all where the query has no entities."""
+    return relevance(relations, query_entities, edges).where("relevance IS NULL OR relevance > 0")
 
 
 def worth_enriching(entities_: DataFrame, least: int = 5) -> bool:

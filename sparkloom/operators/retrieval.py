@@ -24,37 +24,62 @@ def query_analysis(query_entities: DataFrame, edges: DataFrame, n: int = 5) -> D
     return few.groupBy("session_id", "name").agg(F.array_sort(F.collect_list("other")).alias("related"))
 
 
-def result_paths(hit_entities: DataFrame, query_entities: DataFrame, edges: DataFrame, key: str, most: int = 4) -> DataFrame:
-    """key, origin, target, path: paths of three to five nodes from entities of a result to those of
-    the query, at most three entities of each result (by name)."""
-    w = Window.partitionBy(key).orderBy("name")
-    few = hit_entities.withColumn("nth", F.row_number().over(w)).where("nth <= 3").select(key, "session_id", F.col("name").alias("origin"))
-    pairs = few.join(query_entities.select("session_id", F.col("name").alias("target")), "session_id").where("origin <> target")
-    paths = graph.shortest_paths(edges, pairs.select("session_id", "origin", "target").distinct(), most, directed=False)
+def _first(df: DataFrame, by: list[str], name: str, n: int) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(name)
+    return df.withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= n).drop("__nth")
+
+
+def result_paths(hit_entities: DataFrame, query_entities: DataFrame, edges: DataFrame, key: str, n: int = 2) -> DataFrame:
+    """key, session_id, origin, target, path: paths of three to five nodes from the first ``n`` entities
+    of a result by name to the first ``n`` of the query."""
+    few = _first(hit_entities, [key, "session_id"], "name", n).select(key, "session_id", F.col("name").alias("origin"))
+    to = _first(query_entities.select("session_id", "name").distinct(), ["session_id"], "name", n)
+    pairs = few.join(to.select("session_id", F.col("name").alias("target")), "session_id").where("origin <> target")
+    paths = graph.shortest_paths(edges, pairs.select("session_id", "origin", "target").distinct(), 4, directed=False)
     return pairs.join(paths.where("size(path) BETWEEN 3 AND 5"), ["session_id", "origin", "target"]).select(key, "session_id", "origin", "target", "path")
 
 
-def enriched(hits: DataFrame, query_entities: DataFrame, entities: DataFrame, edges: DataFrame, key: str, n: int = 10) -> DataFrame:
-    """The hits (key, session_id, text) with their relevance to the query's entities; the best ``n``."""
-    named = graph.text_entities(hits, entities, key)
-    score = graph.relevance(named, query_entities, edges, key)
-    out = hits.join(score, key, "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
-    return out.where("relevance > 0").orderBy(F.col("relevance").desc(), key).limit(n)
+def enriched(hits: DataFrame, query_entities: DataFrame, entities: DataFrame, edges: DataFrame, key: str, most: int = 10) -> DataFrame:
+    """What the graph adds to results (key, session_id, text): key, session_id, source, relation, node,
+    relevance, nth.
+
+    Relations of the first three entities in a result by name, one per node they lead to; those of
+    some relevance to the query's entities, all if none has any; ``most`` of each result, by
+    relevance, then node. Paths to the query's entities are ``result_paths``."""
+    named = _first(graph.text_entities(hits, entities, key), [key, "session_id"], "name", 3)
+    s = graph.symmetric(edges).select("session_id", F.col("node").alias("name"), F.col("other").alias("node"), "relation")
+    found = named.join(s, ["session_id", "name"]).select(key, "session_id", F.col("name").alias("source"), "relation", "node", F.lit(1).alias("depth"))
+    once = found.withColumn("__n", F.row_number().over(Window.partitionBy(key, "session_id", "node").orderBy("source", "relation"))).where("__n = 1").drop("__n")
+    scored = graph.relevance(once, query_entities, edges)
+    best = F.max(F.coalesce("relevance", F.lit(0))).over(Window.partitionBy(key, "session_id"))
+    kept = scored.withColumn("__best", best).where("__best = 0 OR relevance > 0").drop("__best", "depth")
+    w = Window.partitionBy(key, "session_id").orderBy(F.col("relevance").desc_nulls_last(), "node")
+    return kept.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
 
 
 def connections(hit_entities: DataFrame, edges: DataFrame, key: str, first: int = 3) -> DataFrame:
-    """Paths of three to five nodes between entities of different results among the ``first`` by key."""
-    keys = hit_entities.select(key).distinct().orderBy(key).limit(first)
-    e = hit_entities.join(F.broadcast(keys), key, "left_semi")
-    w = Window.partitionBy(key).orderBy("name")
-    e = e.withColumn("nth", F.row_number().over(w)).where("nth = 1")
-    a = e.select("session_id", F.col(key).alias("left"), F.col("name").alias("origin"))
-    b = e.select("session_id", F.col(key).alias("right"), F.col("name").alias("target"))
+    """Paths of three to five nodes between the first entities by name of different results of a
+    session; of each session the ``first`` results by key."""
+    one = _first(hit_entities.select(key, "session_id", "name").distinct(), [key, "session_id"], "name", 1)
+    few = _first(one, ["session_id"], key, first)
+    a = few.select("session_id", F.col(key).alias("left"), F.col("name").alias("origin"))
+    b = few.select("session_id", F.col(key).alias("right"), F.col("name").alias("target"))
     pairs = a.join(b, "session_id").where("left < right AND origin <> target")
     paths = graph.shortest_paths(edges, pairs.select("session_id", "origin", "target").distinct(), 4, directed=False)
     return pairs.join(paths.where("size(path) BETWEEN 3 AND 5"), ["session_id", "origin", "target"])
 
 
+def expanded_search(hits: DataFrame, query: str, entities: DataFrame, edges: DataFrame, key: str, n: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A search expanded by the graph: (words of the query with their neighbours, the hits with the
+    entities named in them and ``n`` neighbours of each, the paths between the query's first two entities)."""
+    words = graph.expanded_query(query, edges, n)
+    named = graph.text_entities(hits, entities, key)
+    near = query_analysis(named.select("session_id", "name").distinct(), edges, n)
+    own = graph.text_entities(entities.select("session_id").distinct().withColumn("q", F.lit(1)).withColumn("text", F.lit(query)), entities, "q")
+    two = _first(own.select("session_id", "name").distinct(), ["session_id"], "name", 2).groupBy("session_id").agg(F.min("name").alias("origin"), F.max("name").alias("target"))
+    return words, named.join(near, ["session_id", "name"], "left"), graph.shortest_paths(edges, two.where("origin <> target"), 4, directed=False)
+
+
 def hashed_vectors(texts: DataFrame, key: str, text: str = "text", width: int = 384) -> DataFrame:
     """key, vector: unit vectors of hashed words and word pairs. Not semantic, but the same everywhere,
     and texts that share words are close. Texts without words have the zero vector."""

@@ -73,28 +73,33 @@ def semantic_search(
     now: datetime | None = None,
     bias: float = 0.0,
     adjusters: Iterable[scoring.Adjuster] = (),
+    repeats: bool = False,
 ) -> DataFrame:
-    """The best contents of ``store`` for one query vector; all filters come before the ranking."""
+    """The best contents of ``store`` for one query vector; all filters come before the ranking.
+
+    One scan with a partial top-k in every task, nothing is shuffled. Only if contents ``repeats`` in
+    the store (it has one row per content otherwise) are scored rows brought together by content."""
     rows = store
     if date_range is not None:
         start, end = validate.date_range(*date_range)
         rows = rows.where(F.col("ts").between(F.lit(start), F.lit(end)))
     if content_types:
         rows = rows.where(scoring.content_type(F.col("content_type")).isin(*content_types))
-    hits = rows.withColumn("similarity", F.round(V.cosine(F.col("vector"), vector_literal(query)), 6)).drop("vector")
+    hits = rows.withColumn("similarity", F.round(V.cosine_to("vector", query), 6)).drop("vector")
     if least is not None:
         hits = hits.where(F.col("similarity") >= least)
     if quality is not None:
         hits = hits.where(scoring.meets_quality(F.col("similarity"), quality))
-    return ranked(best_per_content(scored(hits, now, bias, adjusters)), limit)
+    hits = scored(hits, now, bias, adjusters)
+    return ranked(best_per_content(hits) if repeats else hits, limit)
 
 
 def batch_search(store: DataFrame, queries: DataFrame, k: int = 10, least: float = -1.0) -> DataFrame:
     """query_id, content_id, similarity, rank: exact top k for a set of query vectors.
 
     ``queries`` (query_id, vector) is sent to all tasks; more than MAX_QUERIES rows are refused.
-    Similarities of a block of stored vectors with all queries are one matrix product, and each
-    block passes on at most k rows per query, so the shuffle does not grow with the store's size.
+    Similarities of a block of stored vectors with all queries are one matrix product; each block
+    passes on at most k rows per query (and ties), of which each task keeps k before the shuffle.
     """
     rows = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).toArrow()
     if rows.num_rows > MAX_QUERIES:
@@ -124,6 +129,27 @@ def batch_search(store: DataFrame, queries: DataFrame, k: int = 10, least: float
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_clamped(store: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``batch_search`` with similarity 1 - min(distance, 1): never negative."""
+    return batch_search(store, queries, k).withColumn("similarity", F.greatest("similarity", F.lit(0.0)))
+
+
+def text_similarity(a: Column | str, b: Column | str) -> Column:
+    """How alike two texts are, by the cosine of their vectors."""
+    return V.cosine(a, b)
+
+
+def page(df: DataFrame, order: Sequence[Column], limit: int = 50, offset: int = 0) -> DataFrame:
+    """Rows of one page in a total order: a top-k in every task, never the whole table sorted."""
+    return df.orderBy(*order).limit(offset + limit).offset(offset)
+
+
+def sessions_like(store: DataFrame, probes: DataFrame, limit: int = 10, k: int = 10) -> DataFrame:
+    """Sessions by the average similarity of what a few probe vectors (query_id, vector) find in them."""
+    hits = batch_search(store, probes, k).join(store.select("content_id", "session_id"), "content_id")
+    return similar_sessions(hits, limit, "similarity")
+
+
 def related_content(store: DataFrame, query: Sequence[float], session_id: str, limit: int = 5, **options) -> DataFrame:
     """The best contents of other sessions."""
     return semantic_search(store.where(F.coalesce(F.col("session_id") != session_id, F.lit(True))), query, limit, **options)

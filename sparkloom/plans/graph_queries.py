@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import graph as G
 from sparkloom.operators import summary as Y
 from sparkloom.sources import tables as T
+from sparkloom.sources.model import PRIORITY
 from sparkloom.sources.tables import with_tables
 
 QUERIES: dict = {}
@@ -165,13 +166,29 @@ def _(spark, d):
     return G.network(e, _starts(e), 2, rim_edges=False)[1]
 
 
-@query("gr4_trace")
+_TRACE = _bfs("upd edge", "node AS a, other AS b", 2) + f""", w AS ({_WALK}),
+  up AS (SELECT w.session_id, w.origin, min(p.node) AS parent, w.node, w.depth FROM w JOIN w p ON p.session_id = w.session_id AND p.origin = w.origin AND p.depth = w.depth - 1
+    JOIN nx ON nx.session_id = w.session_id AND nx.a = p.node AND nx.b = w.node GROUP BY 1, 2, 4, 5),
+  tr AS (SELECT up.session_id, up.origin, up.parent, min(s.relation) AS relation, up.node, up.depth FROM up JOIN sym s ON s.session_id = up.session_id AND s.node = up.parent AND s.other = up.node GROUP BY 1, 2, 3, 5, 6)"""
+_PLAIN = "regexp_replace(relation, '^inverse_', '')"
+_PLACE = f"CASE {_PLAIN} " + " ".join(f"WHEN '{r}' THEN {i + 1}" for i, r in enumerate(PRIORITY)) + f" ELSE {len(PRIORITY) + 1} END"
+_QE = "qe AS (SELECT session_id, min(src) AS name FROM edge GROUP BY 1), qn AS (SELECT DISTINCT session_id, lower(other) AS name FROM sym JOIN qe USING (session_id) WHERE node = qe.name)"
+
+
+def _points(depth: str) -> str:
+    hit = "(SELECT count(*) FROM qe WHERE qe.session_id = r.session_id AND lower(qe.name) = lower(r.node))"
+    near = "(SELECT count(*) FROM qn WHERE qn.session_id = r.session_id AND qn.name = lower(r.node))"
+    kind = f"CASE {_PLAIN} " + " ".join(f"WHEN '{r}' THEN {p}" for r, p in zip(PRIORITY, G.BY_TYPE)) + " ELSE 0 END"
+    return f"CAST(100 * {hit} + 50 * {near} + {kind} + {depth} AS INTEGER)"
+
+
+@query("gr4_trace", _TRACE + " SELECT * FROM tr")
 def _(spark, d):
     e = T.edges(spark, d)
     return G.trace(e, _starts(e), 2)
 
 
-@query("gr9_prioritised")
+@query("gr9_prioritised", _TRACE + f""" SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id, origin ORDER BY {_PLACE}, depth, parent, node) AS INTEGER) AS nth FROM tr) WHERE nth <= 10""")
 def _(spark, d):
     e = T.edges(spark, d)
     return G.prioritised(G.trace(e, _starts(e), 2)).select("session_id", "origin", "parent", "relation", "node", "depth", "nth")
@@ -202,18 +219,26 @@ def _(spark, d):
     return G.entity_context(*_tables(spark, d))
 
 
-@query("gr11_text_entities")
+_WORDS = """wd AS (SELECT DISTINCT update_id, session_id, lower(regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')) AS w FROM (SELECT update_id, session_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\s+')) AS w FROM tx)),
+  te AS (SELECT DISTINCT update_id, wd.session_id, name FROM wd JOIN ent ON ent.session_id = wd.session_id AND lower(ent.name) = wd.w WHERE strlen(wd.w) >= 2)"""
+_RICH = "concat_ws(' ', title, description, array_to_string(coalesce(creates_entities, []), ' '))"
+
+
+def _rich(spark, d):
+    names = F.array_join(F.coalesce("creates_entities", F.array().cast("array<string>")), " ")
+    return T.updates(spark, d).select("update_id", "session_id", F.concat_ws(" ", "title", "description", names).alias("text"))
+
+
+@query("gr11_text_entities", with_tables("upd mention edge", f", {ENT}, tx AS (SELECT update_id, session_id, {_RICH} AS text FROM upd), {_WORDS} SELECT update_id, session_id, name FROM te"))
 def _(spark, d):
-    u = T.updates(spark, d).select("update_id", "session_id", F.col("description").alias("text"))
-    return G.text_entities(u, G.entities(T.mentions(spark, d)), "update_id")
+    return G.text_entities(_rich(spark, d), G.entities(T.mentions(spark, d)), "update_id")
 
 
-@query("gr12_relevance")
+@query("gr12_relevance", _TRACE + f", {_QE}, sc AS (SELECT session_id, origin, node, relation, depth, {_points('CASE depth WHEN 1 THEN 20 WHEN 2 THEN 10 ELSE 0 END')} AS relevance FROM tr r) SELECT * FROM sc WHERE relevance > 0")
 def _(spark, d):
-    ent, e = _tables(spark, d)
-    u = T.updates(spark, d).select("update_id", "session_id", F.col("title").alias("text"))
-    hits = G.text_entities(u, ent, "update_id")
-    return G.relevance(hits, e.groupBy("session_id").agg(F.min("src").alias("name")), e, "update_id")
+    e = T.edges(spark, d)
+    traced = G.trace(e, _starts(e), 2).select("session_id", "origin", "node", "relation", "depth")
+    return G.relevant(traced, _query_entities(e), e)
 
 
 def _query_entities(edges):
@@ -231,22 +256,33 @@ def _(spark, d):
     return retrieval.query_analysis(_query_entities(e), e).select("session_id", "name", F.array_join("related", "|").alias("related"))
 
 
-@query("gr14_enriched_results")
+@query("gr14_enriched_results", with_tables("upd mention edge", f""", {SYM}, {ENT}, {_QE}, tx AS (SELECT update_id, session_id, {_RICH} AS text FROM upd), {_WORDS},
+  f3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY update_id, session_id ORDER BY name) AS n FROM te) WHERE n <= 3),
+  fo AS (SELECT f3.update_id, f3.session_id, f3.name AS source, s.relation, s.other AS node FROM f3 JOIN sym s ON s.session_id = f3.session_id AND s.node = f3.name),
+  r AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY update_id, session_id, node ORDER BY source, relation) AS n FROM fo) WHERE n = 1),
+  sc AS (SELECT *, {_points('20')} AS relevance FROM r)
+  SELECT * FROM (SELECT update_id, session_id, source, relation, node, relevance, CAST(row_number() OVER (PARTITION BY update_id, session_id ORDER BY relevance DESC, node) AS INTEGER) AS nth FROM sc) WHERE nth <= 10"""))
 def _(spark, d):
     from sparkloom.operators import retrieval
 
     ent, e = _tables(spark, d)
-    hits = T.updates(spark, d).select("update_id", "session_id", F.concat_ws(" ", "title", "description", F.array_join(F.coalesce("creates_entities", F.array().cast("array<string>")), " ")).alias("text"))
-    return retrieval.enriched(hits, _query_entities(e), ent, e, "update_id").select("update_id", "relevance")
+    return retrieval.enriched(_rich(spark, d), _query_entities(e), ent, e, "update_id").select("update_id", "session_id", "source", "relation", "node", "relevance", "nth")
 
 
 @query("gr15_connections")
 def _(spark, d):
     from sparkloom.operators import retrieval
 
-    ent, e = _tables(spark, d)
     named = T.mentions(spark, d).select("update_id", "session_id", "name")
-    return retrieval.connections(named, e, "update_id", 50).select("left", "right", "origin", "target", F.size("path").alias("n"))
+    return retrieval.connections(named, T.edges(spark, d), "update_id").select("session_id", "left", "right", "origin", "target", F.size("path").alias("n"))
+
+
+@query("gr16_expanded_search")
+def _(spark, d):
+    from sparkloom.operators import retrieval
+
+    ent, e = _tables(spark, d)
+    return retrieval.expanded_search(_rich(spark, d), "cache index parser", ent, e, "update_id")[1].select("update_id", "session_id", "name", F.array_join("related", "|").alias("related"))
 
 
 @query("emb2_hashed_vectors", with_tables("upd", "SELECT update_id, 384 AS width FROM upd"))
@@ -257,6 +293,20 @@ def _(spark, d):
     return v.select("update_id", F.size("vector").alias("width"))
 
 
+_PAGE = "pg AS (SELECT * FROM (SELECT session_id, name, score, CAST(row_number() OVER (PARTITION BY session_id ORDER BY score DESC NULLS LAST, name) AS INTEGER) AS nth FROM imp) WHERE nth <= 50)"
+
+
+@query("gr17_importance_page", with_tables("upd mention edge", f", {SYM}, {ENT}, {DEG}, {IMP}, {_PAGE} SELECT session_id, name, score, nth FROM pg"))
+def _(spark, d):
+    return G.network_page(_scored(spark, d), T.edges(spark, d))[0].select("session_id", "name", "score", "nth")
+
+
+@query("tk9_network_page", with_tables("upd mention edge", f""", {SYM}, {ENT}, {DEG}, {IMP}, {_PAGE} SELECT * FROM (SELECT e.session_id, src, dst, relation, CAST(row_number() OVER (PARTITION BY e.session_id ORDER BY a.nth, b.nth, relation) AS INTEGER) AS nth
+  FROM edge e JOIN pg a ON a.session_id = e.session_id AND a.name = e.src JOIN pg b ON b.session_id = e.session_id AND b.name = e.dst) WHERE nth <= 100"""))
+def _(spark, d):
+    return G.network_page(_scored(spark, d), T.edges(spark, d))[1]
+
+
 @query("flt7_entity_search", with_tables("upd mention", f", {ENT} SELECT session_id, name FROM ent WHERE contains(lower(name), 'cache')"))
 def _(spark, d):
     return G.entity_search(G.entities(T.mentions(spark, d)), "Cache").select("session_id", "name")
@@ -278,3 +328,10 @@ def _(spark, d):
 @query("ex11_typed_entities", with_tables("upd mention", _TYPED + " SELECT entity_type, count(*) AS n FROM ty GROUP BY 1"))
 def _(spark, d):
     return G.typed_entities(T.mentions(spark, d)).groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+@query("sr20_entity_descriptions", with_tables("upd mention edge", f""", {SYM}, {ENT} {_TYPED}, o AS (SELECT session_id, node AS name, other, row_number() OVER (PARTITION BY session_id, node ORDER BY other) AS n FROM (SELECT DISTINCT session_id, node, other FROM sym)),
+  g AS (SELECT session_id, name, string_agg(other, ', ' ORDER BY other) AS others FROM o WHERE n <= 5 GROUP BY 1, 2)
+  SELECT session_id, name, name || '. Type: ' || entity_type || coalesce('. Related to: ' || others, '') || '. Mentioned ' || mention_count || ' times' AS text FROM ty JOIN ent USING (session_id, name) LEFT JOIN g USING (session_id, name)"""))
+def _(spark, d):
+    return G.entity_description(G.typed_entities(T.mentions(spark, d)), T.edges(spark, d))

@@ -74,11 +74,34 @@ def _(spark, d):
     return e.select("content_id", extract.key_points(F.col("text"), 300).alias("text"))
 
 
+def _probes(e):
+    """One content of 256, by its id, as queries."""
+    return e.where("content_id LIKE '%00'").select(F.col("content_id").alias("query_id"), "vector")
+
+
 @query("vec6_cell_search")
 def _(spark, d):
     e = T.embeddings(spark, d).select("content_id", "vector")
-    q = e.where(F.pmod(F.xxhash64("content_id"), F.lit(100)) == 0).select(F.col("content_id").alias("query_id"), "vector")
-    return ann.CellIndex(e).search(q, 10, "balanced")
+    return ann.CellIndex(e).search(_probes(e), 10, "balanced")
+
+
+@query("vec6_exact_search", with_tables("emb", """, q AS (SELECT content_id AS query_id, vector AS qv FROM emb WHERE content_id LIKE '%00'),
+  s AS (SELECT query_id, content_id, round(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS similarity FROM emb, q)
+  SELECT query_id, content_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, content_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""").replace(") , q", "), q"))
+def _(spark, d):
+    e = T.embeddings(spark, d).select("content_id", "vector")
+    return ann.CellIndex(e).search(_probes(e), 10, "exact")
+
+
+@query("vec7_index_maintenance", with_tables("emb", "SELECT content_id FROM emb WHERE content_id NOT LIKE '%1'"))
+def _(spark, d):
+    """Half of the store indexed, the other half inserted, a sixteenth deleted, then rebuilt."""
+    e = T.embeddings(spark, d).select("content_id", "vector")
+    index = ann.CellIndex(e.where("content_id < '8'"))
+    index.insert(e.where("content_id >= '8'"))
+    index.delete(e.where("content_id LIKE '%1'"))
+    index.rebuild()
+    return index.table.select("content_id")
 
 
 @query("vec6_hyperplane_buckets")
@@ -113,13 +136,27 @@ def _(spark, d):
     return out.select("session_id", "name", F.col("updates").cast("long").alias("updates"))
 
 
-@query("src20_import_merge", with_tables("session", "SELECT session_id, CASE WHEN n % 2 = 0 THEN 'skipped' ELSE 'new' END AS action FROM (SELECT session_id, row_number() OVER (ORDER BY session_id) AS n FROM session)"))
+@query("src17_export_embeddings", with_tables("emb", "SELECT content_id, session_id, text, content_type, ts, round(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM emb"))
 def _(spark, d):
-    from pyspark.sql import Window
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}.gz"
+    export.write_export(T.sessions(spark, d), T.updates(spark, d), path, exported_at=datetime(2026, 1, 1), parts={"embeddings": T.embeddings(spark, d)})
+    e = export.read_part(spark, path, "embeddings")
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return e.select("content_id", "session_id", "text", "content_type", "ts", F.round(total, 4).alias("total"))
+
 
+@query("src16_export_updates", with_tables("session upd", "SELECT update_id, u.session_id, u.title, u.description, u.details, u.update_type, u.important FROM upd u JOIN session s ON s.session_id = u.session_id"))
+def _(spark, d):
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}.gz"
+    export.write_export(T.sessions(spark, d), T.updates(spark, d), path, exported_at=datetime(2026, 1, 1))
+    u = export.read_export(spark, path).select("session_id", F.explode("updates").alias("u"))
+    return u.select(F.col("u.id").alias("update_id"), "session_id", "u.content.title", "u.content.description", "u.content.details", "u.update_type", F.col("u.user_marked_important").alias("important"))
+
+
+@query("src20_import_merge", with_tables("session", "SELECT session_id, CASE WHEN session_id < '8' THEN 'skipped' ELSE 'new' END AS action FROM session"))
+def _(spark, d):
     s = T.sessions(spark, d).select("session_id")
-    numbered = s.withColumn("n", F.row_number().over(Window.orderBy("session_id")))
-    return export.merge(s, numbered.where("n % 2 = 0")).select("session_id", "action")
+    return export.merge(s, s.where("session_id < '8'")).select("session_id", "action")
 
 
 def _events(spark, d):

@@ -28,8 +28,9 @@ def query(name: str, sql: str | None = None):
 
 
 def probe(store):
-    """The vector of the first content by id."""
-    return store.orderBy("content_id").select("vector").head()[0]
+    """The vector of the first content by id; the id is found first, and its rows only are compared."""
+    first = store.agg(F.min("content_id")).head()[0]
+    return store.where(F.col("content_id") == first).select("vector").head()[0]
 
 
 Q = "q AS (SELECT vector AS qv FROM emb ORDER BY content_id LIMIT 1)"
@@ -183,7 +184,13 @@ def _(spark, d):
     return vector_counts(T.embeddings(spark, d))
 
 
-@query("sr11_restore_confidence")
+_SESSION = "(SELECT session_id FROM emb WHERE session_id IS NOT NULL ORDER BY content_id LIMIT 1)"
+
+
+@query("sr11_restore_confidence", with_tables("emb", f""", {Q}, s AS (SELECT content_id, session_id, {SIM} AS similarity, CAST({WEIGHT} AS DOUBLE) AS importance FROM emb, q),
+  own AS (SELECT avg(similarity) AS m FROM (SELECT similarity FROM s WHERE session_id = {_SESSION} ORDER BY similarity * 0.7 + importance * 0.3 DESC, content_id LIMIT 10)),
+  rel AS (SELECT avg(similarity) AS m FROM (SELECT similarity FROM s WHERE coalesce(session_id <> {_SESSION}, true) AND similarity >= 0.7 ORDER BY similarity * 0.7 + importance * 0.3 DESC, content_id LIMIT 10))
+  SELECT round(least(1.0, coalesce(own.m, 0.0) * 0.7 + coalesce(rel.m, 0.0) * 0.3), 6) AS confidence FROM own, rel"""))
 def _(spark, d):
     e = T.embeddings(spark, d)
     session = e.where("session_id IS NOT NULL").orderBy("content_id").select("session_id").head()[0]
@@ -204,9 +211,15 @@ def _(spark, d):
     return shown(S.related_experiences(e, probe(e), session, least=0.2))
 
 
-@query("sr8_explanations")
+@query("sr8_explanations", """SELECT result_id, printf('Combined Score: %.4f = (Similarity: %.4f × 0.7) + (Importance: %.2f × 0.3) | Quality: %s', c, s, i,
+  CASE WHEN s >= 0.85 THEN 'Excellent' WHEN s >= 0.7 THEN 'Very Good' WHEN s >= 0.55 THEN 'Good' WHEN s >= 0.4 THEN 'Moderate' WHEN s >= 0.3 THEN 'Fair' ELSE 'Weak' END) AS explanation
+  FROM (SELECT result_id, CAST(combined_score AS DOUBLE) AS c, CAST(similarity_score AS DOUBLE) AS s, CAST(importance_score AS DOUBLE) AS i FROM semantic_search_result
+    WHERE combined_score IS NOT NULL AND similarity_score IS NOT NULL AND importance_score IS NOT NULL AND NOT isnan(combined_score) AND NOT isnan(similarity_score) AND NOT isnan(importance_score))""")
 def _(spark, d):
-    return S.explained(T.results(spark, d).where("combined_score IS NOT NULL AND similarity_score IS NOT NULL AND importance_score IS NOT NULL"))
+    r = T.results(spark, d)
+    for c in ("combined_score", "similarity_score", "importance_score"):
+        r = r.where(F.col(c).isNotNull() & ~F.isnan(c))
+    return S.explained(r)
 
 
 @query("sr18_worth_indexing", "SELECT count(*) AS n FROM semantic_search_result WHERE strlen(trim(text_content, ' ')) >= 10")
@@ -219,3 +232,32 @@ def _(spark, d):
 @query("jn2_workspace_members", with_tables("emb ws", "SELECT workspace_id, count(*) AS n FROM emb JOIN ws USING (session_id) GROUP BY 1"))
 def _(spark, d):
     return T.embeddings(spark, d).join(T.workspace_sessions(spark, d), "session_id").groupBy("workspace_id").agg(F.count("*").alias("n"))
+
+
+@query("vec12_nearest_clamped", with_tables("emb", """, q AS (SELECT content_id AS query_id, vector AS qv FROM emb ORDER BY content_id LIMIT 20),
+  s AS (SELECT query_id, content_id, round(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS similarity FROM emb, q)
+  SELECT query_id, content_id, greatest(similarity, 0.0) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, content_id) AS rank FROM s) WHERE rank <= 10""").replace(") , q", "), q"))
+def _(spark, d):
+    e = T.embeddings(spark, d)
+    return S.nearest_clamped(e, e.orderBy("content_id").limit(20).select(F.col("content_id").alias("query_id"), "vector"))
+
+
+@query("sr13_sessions_like", with_tables("emb", """, q AS (SELECT content_id AS query_id, vector AS qv FROM emb ORDER BY content_id LIMIT 4),
+  s AS (SELECT query_id, content_id, session_id, round(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS similarity FROM emb, q),
+  h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, content_id) AS rank FROM s) WHERE rank <= 10)
+  SELECT session_id, round(avg(similarity), 6) AS similarity, count(*) AS n FROM h WHERE session_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""").replace(") , q", "), q"))
+def _(spark, d):
+    e = T.embeddings(spark, d)
+    return S.sessions_like(e, e.orderBy("content_id").limit(4).select(F.col("content_id").alias("query_id"), "vector"))
+
+
+@query("sr15_text_similarity", with_tables("emb", f", {Q} SELECT content_id, {SIM} AS similarity FROM emb, q"))
+def _(spark, d):
+    e = T.embeddings(spark, d)
+    return e.select("content_id", F.round(S.text_similarity("vector", S.vector_literal(probe(e))), 6).alias("similarity"))
+
+
+@query("page_of_results", with_tables("res", "SELECT result_id FROM res WHERE combined_score IS NOT NULL AND NOT isnan(combined_score) ORDER BY combined_score DESC, result_id LIMIT 50 OFFSET 50"))
+def _(spark, d):
+    r = T.results(spark, d).where("combined_score IS NOT NULL AND NOT isnan(combined_score)")
+    return S.page(r, [F.col("combined_score").desc(), F.col("result_id")], 50, 50).select("result_id")

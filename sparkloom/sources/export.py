@@ -7,8 +7,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.sources.model import EXPORT_SESSION, FORMAT_VERSION
+from sparkloom.operators.lineage import exists
+from sparkloom.sources.model import EMBEDDING, EXPORT_SESSION, FORMAT_VERSION, WORKSPACE, S, struct
 
+#: What an export may hold beside sessions, each as JSON lines of its own.
+PARTS = {"workspaces": WORKSPACE, "embeddings": EMBEDDING, "checkpoints": struct(checkpoint_id=S, session_id=S, update_id=S)}
 CODECS = {".gz": "gzip", ".zst": "zstd"}
 
 
@@ -40,9 +43,13 @@ def session_documents(sessions: DataFrame, updates: DataFrame) -> DataFrame:
     return out.select("session_id", F.to_json(F.struct("session_id", "name", "description", "created_at", "last_updated", "updates")).alias("document"))
 
 
-def write_export(sessions: DataFrame, updates: DataFrame, path: str, kind: str = "full", compression: str | None = None, exported_at: datetime | None = None) -> None:
-    """A folder of JSON lines: ``sessions`` (one line each) and ``metadata`` with version and counts."""
+def write_export(sessions: DataFrame, updates: DataFrame, path: str, kind: str = "full", compression: str | None = None, exported_at: datetime | None = None, parts: dict[str, DataFrame] | None = None) -> None:
+    """A folder of JSON lines: ``sessions`` (one line each), ``metadata`` with version and counts, and
+    the PARTS given, of which the columns they have of their schema are written."""
     c = codec(path, compression)
+    for name, df in (parts or {}).items():
+        keep = [f for f in PARTS[name].names if f in df.columns]
+        df.select(F.to_json(F.struct(*keep)).alias("value")).write.mode("overwrite").option("compression", c).text(f"{path}/{name}")
     docs = session_documents(sessions, updates)
     docs.select(F.col("document").alias("value")).write.mode("overwrite").option("compression", c).text(f"{path}/sessions")
     at = F.lit(exported_at) if exported_at else F.current_timestamp()
@@ -66,6 +73,14 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXPORT_SESSION).json(f"{path}/sessions")
 
 
+def read_part(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Workspaces, embeddings or checkpoints of an export; empty if it has none."""
+    preview(spark, path)
+    if not exists(spark, f"{path}/{name}"):
+        return spark.createDataFrame([], PARTS[name])
+    return spark.read.schema(PARTS[name]).json(f"{path}/{name}")
+
+
 def list_sessions(exported: DataFrame) -> DataFrame:
     return exported.select("session_id", F.coalesce("name", F.lit("Unnamed")).alias("name"), F.greatest(F.size("updates"), F.lit(0)).alias("updates"))
 

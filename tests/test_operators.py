@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import ann, context, extract, graph, relational, search
-from sparkloom.sources import export
+from sparkloom.sources import export, model
 from sparkloom.sources.store import Store
 
 E = "session_id string, src string, dst string, relation string"
@@ -293,3 +294,51 @@ def test_command_line(spark, data, tmp_path, capsys):
     main([store, "migrate", str(tmp_path / "other")])
     with pytest.raises(ValueError):
         main([store, "session", "nope"])
+
+
+def test_index_maintenance(spark):
+    from sparkloom.operators import ann
+
+    r = random.Random(4)
+    rows = [(f"{i:03}", [r.gauss(0, 1) for _ in range(16)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "content_id string, vector array<float>")
+    index = ann.CellIndex(df.where("content_id < '060'"), cells=4)
+    bad = [("x1", [1.0] * 3), ("x2", [0.0] * 16), ("x3", None), ("x4", [float("nan")] * 16), (None, [1.0] * 16)]
+    refused = index.insert(df.where("content_id >= '060'").unionAll(spark.createDataFrame(bad, df.schema)))
+    assert {(x["content_id"], x["reason"]) for x in refused.collect()} == {("x1", "dimension"), ("x2", "zero"), ("x3", "no vector"), ("x4", "not finite"), (None, "no key")}
+    index.insert(spark.createDataFrame([("000", rows[1][1])], df.schema))  # replaces
+    index.delete(spark.createDataFrame([("001",), ("nobody",)], "content_id string"))
+    for again in (index, ann.CellIndex.open(spark, index.path)):
+        assert again.table.count() == 119
+        top = again.search(spark.createDataFrame([("q", rows[1][1])], "query_id string, vector array<float>"), 1, "exact").head()
+        assert (top["content_id"], top["similarity"]) == ("000", 1.0)
+    index.rebuild(cells=6)
+    again = ann.CellIndex.open(spark, index.path)
+    assert again.table.count() == 119 and len(again.centroids) == 6
+    index.clear()
+
+
+def test_cell_index_recall(spark, data):
+    from sparkloom.operators import ann
+
+    r = random.Random(5)
+    centres = [[r.gauss(0, 1) for _ in range(32)] for _ in range(40)]
+    rows = [(f"{i:04}", [c + r.gauss(0, 0.4) for c in centres[i % 40]]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "content_id string, vector array<float>")
+    q = df.where("content_id LIKE '%7'").selectExpr("content_id AS query_id", "vector")
+    index = ann.CellIndex(df)
+    found, true = ({(x["query_id"], x["content_id"]) for x in index.search(q, 10, m).collect()} for m in ("balanced", "exact"))
+    assert len(found & true) / len(true) >= 0.9
+
+
+def test_export_of_everything(spark, tmp_path):
+    s = spark.createDataFrame([("s1", "a")], "session_id string, name string").selectExpr("*", "cast(null as string) description", "timestamp'2025-01-01' created_at", "timestamp'2025-01-02' last_updated")
+    u = spark.createDataFrame([], model.struct(session_id=model.S, update_id=model.S, ts=model.TS, update_type=model.S, title=model.S, description=model.S, details=model.STRINGS, examples=model.STRINGS, implications=model.STRINGS, related_code=model.CODE_REFERENCE, parent_update=model.S, important=model.B, creates_entities=model.STRINGS, creates_relationships=model.UPDATE["creates_relationships"].dataType, references_entities=model.STRINGS))
+    e = spark.createDataFrame([("c1", "s1", [0.5, -0.25], "t", "CodeSnippet", datetime(2025, 1, 1), {"k": "v"})], model.EMBEDDING)
+    w = spark.createDataFrame([("w1", "n", None, [("s1", "primary")], 5)], model.WORKSPACE)
+    k = spark.createDataFrame([("k1", "s1", "u1")], export.PARTS["checkpoints"])
+    path = str(tmp_path / "all.gz")
+    export.write_export(s, u, path, parts={"embeddings": e, "workspaces": w, "checkpoints": k})
+    assert [export.read_part(spark, path, n).collect() for n in ("embeddings", "workspaces", "checkpoints")] == [x.collect() for x in (e, w, k)]
+    export.write_export(s, u, str(tmp_path / "less"))
+    assert export.read_part(spark, str(tmp_path / "less"), "workspaces").count() == 0
