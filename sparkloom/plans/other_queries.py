@@ -145,12 +145,12 @@ def _(spark, d):
     return e.select("content_id", "session_id", "text", "content_type", "ts", F.round(total, 4).alias("total"))
 
 
-@query("src16_export_updates", with_tables("session upd", "SELECT update_id, u.session_id, u.title, u.description, u.details, u.update_type, u.important FROM upd u JOIN session s ON s.session_id = u.session_id"))
+@query("src16_export_updates", with_tables("session upd", "SELECT update_id, u.session_id, u.ts, u.title, u.description, u.details, u.update_type, u.important FROM upd u JOIN session s ON s.session_id = u.session_id"))
 def _(spark, d):
     path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}.gz"
     export.write_export(T.sessions(spark, d), T.updates(spark, d), path, exported_at=datetime(2026, 1, 1))
     u = export.read_export(spark, path).select("session_id", F.explode("updates").alias("u"))
-    return u.select(F.col("u.id").alias("update_id"), "session_id", "u.content.title", "u.content.description", "u.content.details", "u.update_type", F.col("u.user_marked_important").alias("important"))
+    return u.select(F.col("u.id").alias("update_id"), "session_id", "u.ts", "u.content.title", "u.content.description", "u.content.details", "u.update_type", F.col("u.user_marked_important").alias("important"))
 
 
 @query("src20_import_merge", with_tables("session", "SELECT session_id, CASE WHEN session_id < '8' THEN 'skipped' ELSE 'new' END AS action FROM session"))

@@ -12,6 +12,8 @@ from sparkloom.sources.model import EMBEDDING, EXPORT_SESSION, FORMAT_VERSION, W
 
 #: What an export may hold beside sessions, each as JSON lines of its own.
 PARTS = {"workspaces": WORKSPACE, "embeddings": EMBEDDING, "checkpoints": struct(checkpoint_id=S, session_id=S, update_id=S)}
+#: Times are written to the microsecond.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 CODECS = {".gz": "gzip", ".zst": "zstd"}
 
 
@@ -40,7 +42,7 @@ def session_documents(sessions: DataFrame, updates: DataFrame) -> DataFrame:
     u = F.struct(F.col("update_id").alias("id"), "ts", "update_type", content, "related_code", "parent_update", F.col("important").alias("user_marked_important"), "creates_entities", "creates_relationships", "references_entities")
     per = updates.select("session_id", u.alias("u")).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(F.col("u.ts").alias("at"), F.col("u.id").alias("id"), "u"))).alias("us"))
     out = sessions.join(per, "session_id", "left").withColumn("updates", F.coalesce(F.transform("us", lambda x: x["u"]), F.from_json(F.lit("[]"), EXPORT_SESSION["updates"].dataType)))
-    return out.select("session_id", F.to_json(F.struct("session_id", "name", "description", "created_at", "last_updated", "updates")).alias("document"))
+    return out.select("session_id", F.to_json(F.struct("session_id", "name", "description", "created_at", "last_updated", "updates"), TIMES).alias("document"))
 
 
 def write_export(sessions: DataFrame, updates: DataFrame, path: str, kind: str = "full", compression: str | None = None, exported_at: datetime | None = None, parts: dict[str, DataFrame] | None = None) -> None:
@@ -49,7 +51,7 @@ def write_export(sessions: DataFrame, updates: DataFrame, path: str, kind: str =
     c = codec(path, compression)
     for name, df in (parts or {}).items():
         keep = [f for f in PARTS[name].names if f in df.columns]
-        df.select(F.to_json(F.struct(*keep)).alias("value")).write.mode("overwrite").option("compression", c).text(f"{path}/{name}")
+        df.select(F.to_json(F.struct(*keep), TIMES).alias("value")).write.mode("overwrite").option("compression", c).text(f"{path}/{name}")
     docs = session_documents(sessions, updates)
     docs.select(F.col("document").alias("value")).write.mode("overwrite").option("compression", c).text(f"{path}/sessions")
     at = F.lit(exported_at) if exported_at else F.current_timestamp()
