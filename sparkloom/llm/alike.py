@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import canonical_id, durable, rows_in, table
+from sparkloom.llm.common import CANON, canonical_id, durable, rows_in, table
 from sparkloom.llm.rarity import by_rarity, counts_of, text_classes, triple_levels
 from sparkloom.llm.triples import shared, slices, triple_sets
 
@@ -147,4 +147,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found}
-ORACLE: dict = {}
+#: Pairs by counting the triples shared by every two texts; words and triples as the operator's.
+ORACLE = {
+    "p1_found": f"""WITH e AS (SELECT {CANON.format("content_id")} AS id, row_id, text FROM exported_embedding WHERE text IS NOT NULL),
+  r AS (SELECT {CANON.format("content_id")} AS id, min(text_content) AS text FROM semantic_search_result WHERE text_content IS NOT NULL GROUP BY 1),
+  t AS (SELECT id, arg_max(text, row_id) AS text FROM e WHERE id IS NOT NULL GROUP BY 1
+    UNION ALL SELECT id, text FROM r WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM e WHERE id IS NOT NULL)),
+  w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM t),
+  g AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) >= 8),
+  n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+  m AS (SELECT a.id AS content_a, b.id AS content_b, count(*) AS m FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+  SELECT content_a, content_b FROM m JOIN n x ON x.id = content_a JOIN n y ON y.id = content_b WHERE 2 * m >= x.n + y.n - m"""
+}

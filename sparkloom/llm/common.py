@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: ``canonical_id`` of a column in the SQL twins.
+CANON = "nullif(regexp_replace(regexp_replace(lower({0}), '^\\s*urn:uuid:', ''), '[^0-9a-f]+', '', 'g'), '')"
+
+
 def canonical_id(col: Column | str) -> Column:
     """Blanks at both ends off, lower case, leading ``urn:uuid:`` off, only hex digits kept.
 

@@ -17,6 +17,7 @@ text is stored, and none of an earlier batch is read again.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, canonical_id, durable, exists, shared_dir, table
+from sparkloom.llm.common import CANON, Scratch, canonical_id, exists, shared_dir, table
 from sparkloom.llm.rarity import by_rarity, triple_levels
 from sparkloom.llm.triples import distinct, mix, set_hash, slices, triple_sets
 
@@ -35,6 +36,10 @@ from sparkloom.llm.triples import distinct, mix, set_hash, slices, triple_sets
 TOKEN_BYTES = 6
 #: Segments a pair must have in common before it is verified (all that it must share, if those are fewer).
 MATCHES = 4
+#: Rows of a batch that one task may hold to look them up in a bucket.
+BUILD_ROWS = 2_000_000
+#: Items and links of a batch up to which one task decides them; more are decided in rounds.
+ONE_TASK = 300_000
 TABLES = {"segments": ("segment", "segment BIGINT, cls BIGINT, n INT, at INT"), "strings": ("cls", "cls BIGINT, tokens BINARY"), "ids": ("id", "id STRING")}
 
 
@@ -95,8 +100,10 @@ def _bands(n: np.ndarray) -> np.ndarray:
     return np.frexp(np.maximum(n, 1))[1] - 1  # floor of the binary logarithm
 
 
-def segments(strings: DataFrame) -> DataFrame:
-    """What is stored of each canonical string: segment, cls, n (length), at (position)."""
+def segments(strings: DataFrame, banded: bool = True) -> DataFrame:
+    """What is stored of each canonical string: segment, cls, n (length), at (position).
+
+    Unbanded segments also probe each other, so that one shuffle serves both sides of a batch's own join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -107,22 +114,22 @@ def segments(strings: DataFrame) -> DataFrame:
             keep = at < (n // 2 + MATCHES)[owner]
             owner, at = owner[keep], at[keep]
             realm = np.asarray(b.column(1).to_numpy(zero_copy_only=False), np.int64)
-            key = _keys(values[keep], realm[owner], _bands(n)[owner])
+            key = _keys(values[keep], realm[owner], _bands(n)[owner] if banded else np.full(len(owner), 63))
             yield _postings(key, b.column(0), owner, n, at)
 
     return strings.select("cls", "realm", "tokens").mapInArrow(run, TABLES["segments"][1])
 
 
-def probes(strings: DataFrame, within: bool = False) -> DataFrame:
+def probes(strings: DataFrame) -> DataFrame:
     """What each string seeks, by length band: the shortest string of a band that may be alike says
-    how many elements, rare first, are needed there. ``within``: no bands of longer strings only."""
+    how many elements, rare first, are needed there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             values, offsets = unpacked(b.column(2))
             n = np.diff(offsets)
             realm = np.asarray(b.column(1).to_numpy(zero_copy_only=False), np.int64)
-            for step in (-1, 0) if within else (-1, 0, 1):
+            for step in (-1, 0, 1):
                 band = _bands(n) + step
                 low = np.maximum(np.left_shift(1, np.maximum(band, 0)), -(-n // 2))
                 least = (n + low + 2) // 3
@@ -151,7 +158,7 @@ def meet(probing: DataFrame, stored: DataFrame, within: bool = False) -> DataFra
     ok = ok & (F.expr("least(i, j) + 1 + least(nx - i, ny - j) - 1") >= least)  # enough before and behind this place
     if within:
         ok = ok & ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x"))))
-    met = a.join(b, "segment").where(ok).select("x", "y", need.alias("need"))
+    met = a.join(b.hint("merge") if within else b, "segment").where(ok).select("x", "y", need.alias("need"))
     return met.groupBy("x", "y", "need").agg(F.count("*").alias("met")).where("met >= need").select("x", "y")
 
 
@@ -159,7 +166,7 @@ def bounded(pairs: DataFrame, probing: DataFrame, stored: DataFrame) -> DataFram
     """The pairs whose canonical strings are within the bounded edit distance: x, y, distance."""
     a = probing.select(F.col("cls").alias("x"), F.col("tokens").alias("tx"))
     b = stored.select(F.col("cls").alias("y"), F.col("tokens").alias("ty"))
-    both = pairs.join(a, "x").join(b, "y").select("x", "y", "tx", "ty")
+    both = pairs.join(b.hint("merge"), "y").join(a.hint("merge"), "x").select("x", "y", "tx", "ty")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in slices(batches, 512):
@@ -173,6 +180,18 @@ def bounded(pairs: DataFrame, probing: DataFrame, stored: DataFrame) -> DataFram
     return both.mapInArrow(run, "x long, y long, distance long")
 
 
+def steady(spark: SparkSession) -> SparkSession:
+    """A session of the same application without adaptive plans and broadcasts, which take a job and
+    threads of the driver for each exchange: too much for the many small steps of a batch."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    return own
+
+
 def at_once(*jobs: Callable) -> list:
     """What the jobs return; they run side by side, since each alone leaves cores idle."""
     with ThreadPoolExecutor(len(jobs)) as pool:
@@ -189,7 +208,7 @@ class SegmentIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.steady = spark, path.rstrip("/"), steady(spark)
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: np.ndarray | None = None
         self._load()
@@ -200,7 +219,7 @@ class SegmentIndex:
             if kept is None:
                 raise ValueError(f"the order of triples in {self.path}/levels can't be read")
             self.levels, self.buckets = np.frombuffer(kept["levels"], np.uint8), kept["buckets"]
-        elif exists(self.spark, f"{self.path}/commits"):
+        elif self._marks("commits"):
             raise ValueError(f"{self.path} has batches but not the order of triples they were made with")
 
     def order(self, classes: DataFrame) -> np.ndarray:
@@ -222,31 +241,57 @@ class SegmentIndex:
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, part BIGINT) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{where}'")
         return name
 
-    def stored(self) -> dict[str, DataFrame]:
-        """segments, strings and ids of all batches committed by now; empty if there is none yet."""
+    def stored(self, spark: SparkSession | None = None) -> dict[str, DataFrame]:
+        """segments, strings and ids of all batches committed by now; empty if there is none yet.
+
+        A batch that began to be appended and didn't end is left out."""
         if self.levels is None:
             self._load()  # another may have appended since
-        if self.levels is None or not exists(self.spark, f"{self.path}/commits"):
+        done = self._marks("commits")
+        if self.levels is None or not done:
             return {}
-        parts = [r[0] for r in self.spark.read.schema("part long").parquet(f"{self.path}/commits").collect()]  # a number a batch
-        out = {}
+        broken, out = sorted(self._marks("begun") - done), {}
+        spark = spark or self.spark
         for what in TABLES:
-            self.spark.catalog.refreshTable(name := self._table(what))
-            out[what] = self.spark.table(name).where(F.col("part").isin(parts)).drop("part")
+            spark.catalog.refreshTable(name := self._table(what))
+            rows = spark.table(name)
+            out[what] = (rows.where(~F.col("part").isin(broken)) if broken else rows).drop("part")
         return out
 
-    def probe(self, strings: DataFrame, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    def _marks(self, which: str) -> set[int]:
+        """The numbers of the batches that began to be appended, or ended: an empty file each."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{which}")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return {int(f.getPath().getName()) for f in fs.listStatus(p)} if fs.exists(p) else set()
+
+    def _mark(self, which: str, part: int) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{which}/{part}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p).close()
+
+    def _postings(self, strings: DataFrame) -> int:
+        """What strings probe with at most, by the size of their files (hashes don't compress)."""
+        return 2 * sum(self._length(f) for f in strings.inputFiles()) // TOKEN_BYTES
+
+    def _length(self, file: str) -> int:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(file)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+
+    def probe(self, strings: DataFrame, stored: dict[str, DataFrame] | None = None, scratch: Scratch | None = None) -> DataFrame:
         """x (new class), y (stored class), distance of all alike pairs; empty for an empty index.
 
-        ``strings``: cls, realm, tokens as ``canonical`` gives them."""
+        ``strings``: cls, realm, tokens as ``canonical`` gives them, as a written table. The stored
+        buckets are read without a shuffle, and without a sort if the batch is small for them."""
         stored = self.stored() if stored is None else stored
         if not stored:
             return self.spark.createDataFrame([], "x long, y long, distance long")
-        return bounded(meet(probes(strings), stored["segments"]), strings, stored["strings"])
+        how, scratch = "shuffle_hash" if self._postings(strings) <= BUILD_ROWS * self.buckets else "merge", scratch or Scratch(self.spark)
+        pairs = scratch.keep(meet(probes(strings).hint(how), stored["segments"]), "pairs")
+        return bounded(pairs, strings, pairs.select(F.col("y").alias("cls")).distinct().hint(how).join(stored["strings"], "cls"))
 
     def append(self, strings: DataFrame, ids: DataFrame) -> None:
         """Add classes (cls, realm, tokens) and ids that are not in the index yet, as one batch."""
         part = uuid.uuid4().int >> 65
+        self._mark("begun", part)
 
         def add(what: str, rows: DataFrame) -> None:
             by = TABLES[what][0]
@@ -254,7 +299,7 @@ class SegmentIndex:
             rows.sortWithinPartitions(by).write.insertInto(self._table(what))
 
         at_once(lambda: add("segments", segments(strings)), lambda: add("strings", strings.select("cls", "tokens")), lambda: add("ids", ids.select("id")))
-        self.spark.createDataFrame([(part,)], "part long").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self._mark("commits", part)
 
     def admit(self, rows: DataFrame) -> DataFrame:
         """Take one batch of items and append what is accepted; the refused items: keys.
@@ -264,34 +309,77 @@ class SegmentIndex:
         has its id or an alike text. Null ids equal none; null, empty and short texts (under 8
         words) are alike to none, so such an item is refused by its id only.
         """
-        spark, scratch = self.spark, Scratch(self.spark)
-        keys = ["kind", "row_id", "item_no"]
-        items = scratch.keep(hashed(rows, [*keys, "id", "realm"]), "batch")
+        spark, keys = self.spark, ["kind", "row_id", "item_no"]
+        wide, small = Scratch(spark), Scratch(self.steady)  # for joins of postings and texts, and for all else
+        items = small.keep(hashed(rows, [*keys, "id", "realm"]), "batch")
         ranked = F.expr("(coalesce(cast(row_id as decimal(38,0)), -9223372036854775809) * 4294967296 + coalesce(item_no, -1)) * 65536 + realm").cast("decimal(38,0)")
         items = items.withColumn("ord", ranked)
         left = items.where("id IS NOT NULL OR cls IS NOT NULL").groupBy("id", "cls").agg(F.min("ord").alias("ord"))
         # of the same id and class only the first can be accepted: what refuses it refuses the rest
-        if stored := self.stored():
-            left = left.join(stored["ids"], "id", "left_anti").join(stored["strings"].select("cls"), "cls", "left_anti")
-        left = scratch.keep(left.select("ord", "id", "cls"), "left")
+        if stored := self.stored(self.steady):
+            for key, what in (("id", "ids"), ("cls", "strings")):
+                met = left.select(key).where(f"{key} IS NOT NULL").distinct().hint("shuffle_hash").join(stored[what].select(key), key)
+                left = left.join(met, key, "left_anti")
+        n_left, n_links = Observation(), Observation()
+        left = small.keep(left.select("ord", "id", "cls").observe(n_left, F.count("*").alias("n")), "left")
         chosen = left.where("cls IS NOT NULL").groupBy("cls").agg(F.min("ord").alias("ord"))
         # of an item several may have the same keys; their texts are one class then, if at all
         first = items.join(chosen, ["ord", "cls"], "left_semi").dropDuplicates(["cls"]).select("cls", "realm", "tokens")
-        first = first if self.levels is not None else scratch.keep(first, "first")
-        strings = scratch.keep(canonical(first, self.order(first)), "strings")
-        near = scratch.keep(self.probe(strings, stored).select(F.col("x").alias("cls")).distinct(), "near")
-        new = strings.join(near, "cls", "left_anti")
-        links = bounded(meet(probes(new, within=True), segments(new), within=True), new, new)
-        links = scratch.keep(links.select("x", "y"), "links")
-        taken = accept_in_order(left.join(near, "cls", "left_anti"), links, scratch)
+        first = first if self.levels is not None else small.keep(first, "first")
+        strings = wide.keep(canonical(first, self.order(first)), "strings")
+        if self._postings(strings) <= BUILD_ROWS:  # no task can get too many, whatever the skew
+            wide.spark, strings = self.steady, self.steady.read.schema(strings.schema).parquet(wide.paths[0])
+        met = self.probe(strings, self.stored(wide.spark), small).select(F.col("x").alias("cls")).distinct()
+        near = wide.keep(met, "near")
+        new = strings.join(near.hint("merge"), "cls", "left_anti")
+        own = segments(new, banded=False)
+        links = wide.keep(bounded(meet(own, own, within=True), new, new).select("x", "y").observe(n_links, F.count("*").alias("n")), "links")
+        strings, near, links = (self.steady.read.schema(df.schema).parquet(path) for df, path in zip((strings, near, links), wide.paths))
+        few = n_left.get["n"] + n_links.get["n"] <= ONE_TASK
+        left = left.join(near, "cls", "left_anti").select("ord", "id", "cls")
+        taken = small.keep(accept_in_one_task(left, links), "taken") if few else accept_in_order(left, links, small)
         free = items.where("id IS NULL AND cls IS NULL").select("ord")
         accepted = taken.where("cls IS NOT NULL").select("cls")
-        _, refused = at_once(
+        refused = Scratch(spark)
+        _, out = at_once(
             lambda: self.append(strings.join(accepted, "cls", "left_semi"), taken.where("id IS NOT NULL").select("id")),
-            lambda: durable(items.join(taken.select("ord").unionAll(free), "ord", "left_anti").select(*keys), "refused"),
+            lambda: refused.keep(items.join(taken.select("ord").unionAll(free), "ord", "left_anti").select(*keys), "refused"),
         )
-        scratch.drop()
-        return refused
+        wide.drop()
+        small.drop()
+        gc.collect()
+        spark._jvm.System.gc()  # shuffle files of this batch go only when the driver's references to them do
+        return out
+
+
+def accept_in_one_task(items: DataFrame, links: DataFrame) -> DataFrame:
+    """``accept_in_order`` of a few items and links, their number checked by the caller: one after the other."""
+    rows = items.select("ord", "id", "cls", F.lit(None).cast("long").alias("to"))
+    rows = rows.unionAll(links.select(F.lit(None).cast("decimal(38,0)"), F.lit(None).cast("string"), "x", "y")).coalesce(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: dict[int, list[int]] = {}
+        left, ids, closed, out = [], set(), set(), []
+        for b in batches:
+            for n, i, c, to in zip(*(x.to_pylist() for x in b.columns)):
+                if n is None:
+                    near.setdefault(c, []).append(to)
+                    near.setdefault(to, []).append(c)
+                else:
+                    left.append((n, i, c))
+        for n, i, c in sorted(left, key=lambda x: x[0]):
+            if i in ids or c in closed:
+                continue
+            out.append((n, i, c))
+            if i is not None:
+                ids.add(i)
+            if c is not None:
+                closed.add(c)
+                closed.update(near.get(c, ()))
+        columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.decimal128(38, 0), pa.string(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["ord", "id", "cls"])
+
+    return rows.mapInArrow(run, "ord decimal(38,0), id string, cls long")
 
 
 def accept_in_order(items: DataFrame, links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -323,9 +411,9 @@ def accept_in_order(items: DataFrame, links: DataFrame, scratch: Scratch | None
         own = taken.where("cls IS NOT NULL").select("cls")
         closed = scratch.keep(own.unionAll(both.join(own, both.x == own.cls, "left_semi").select(F.col("y").alias("cls"))).distinct(), "closed")
         left = now.where("NOT ready").drop("ready").join(taken.where("id IS NOT NULL").select("id"), "id", "left_anti").join(closed, "cls", "left_anti")
-        left = scratch.keep(left.select("ord", "id", "cls"), "undecided")
-        gone = closed.withColumnRenamed("cls", "g")
-        both = scratch.keep(both.join(gone, both.x == gone.g, "left_anti").join(gone, both.y == gone.g, "left_anti").select("x", "y"), "open")
+        both = both.join(closed, both.x == closed.cls, "left_anti").join(closed, both.y == closed.cls, "left_anti")
+        if len(parts) % 4 == 0:  # short lineage, however long the chains are
+            left, both = scratch.keep(left.select("ord", "id", "cls"), "undecided"), scratch.keep(both, "open")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
@@ -367,4 +455,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found}
-ORACLE: dict = {}
+#: Items one after the other: the numbers of the refused are carried along.
+ORACLE = {
+    "p2_found": f"""WITH RECURSIVE u AS (SELECT batch_no, row_id, unnest(updates) AS u, generate_subscripts(updates, 1) - 1 AS item_no FROM exported_session),
+  it AS (SELECT *, row_number() OVER (ORDER BY kind, batch_no NULLS FIRST, row_id, item_no) AS o FROM (
+    SELECT 'embedding' AS kind, batch_no, row_id, CAST(0 AS INTEGER) AS item_no, {CANON.format("content_id")} AS id, text FROM exported_embedding
+    UNION ALL SELECT 'update', batch_no, row_id, CAST(item_no AS INTEGER), {CANON.format("u.id")}, concat_ws(' ', u.content.title, u.content.description,
+      array_to_string(u.content.details, ' '), array_to_string(u.content.examples, ' '), array_to_string(u.content.implications, ' ')) FROM u)),
+  w AS (SELECT o, kind, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM it),
+  g AS (SELECT o, kind, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) >= 8),
+  n AS (SELECT o, count(*) AS n FROM g GROUP BY 1),
+  m AS (SELECT a.o AS lo, b.o AS hi, count(*) AS m FROM g a JOIN g b ON a.g = b.g AND a.kind = b.kind AND a.o < b.o GROUP BY 1, 2),
+  c AS (SELECT lo, hi FROM m JOIN n x ON x.o = lo JOIN n y ON y.o = hi WHERE 2 * m >= x.n + y.n - m
+    UNION SELECT a.o, b.o FROM it a JOIN it b ON a.kind = b.kind AND a.id = b.id AND a.o < b.o),
+  k AS MATERIALIZED (SELECT hi, list(lo) AS los, row_number() OVER (ORDER BY hi) AS n FROM c GROUP BY hi),
+  s AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS refused
+    UNION ALL SELECT k.n, CASE WHEN len(list_filter(k.los, lambda x: NOT list_contains(s.refused, x))) > 0 THEN list_append(s.refused, k.hi) ELSE s.refused END FROM s JOIN k ON k.n = s.n + 1)
+  SELECT kind, row_id, item_no FROM it WHERE o IN (SELECT unnest(refused) FROM s WHERE n = (SELECT max(n) FROM s))"""
+}

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: Texts with fewer words are never alike to any other.
 MIN_WORDS = 8
 #: Bytes of text handled at once; a longer text is handled alone.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -145,7 +145,7 @@ def shared(texts_a: pa.Array, texts_b: pa.Array) -> tuple[np.ndarray, np.ndarray
     return na + nb - union, union
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)

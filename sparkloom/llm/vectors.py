@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import canonical_id, durable, rows_in, table
+from sparkloom.llm.common import CANON, canonical_id, durable, rows_in, table
 
 WIDTH = 128
 PARTS, CODES = 64, 16
@@ -393,4 +393,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found}
-ORACLE: dict = {}
+#: All pairs by brute force.
+ORACLE = {
+    "p5_found": f"""WITH v AS (SELECT {CANON.format("content_id")} AS id, vector FROM exported_embedding UNION ALL SELECT {CANON.format("content_id")}, vector FROM stored_embedding),
+  ok AS (SELECT id, any_value(CAST(vector AS DOUBLE[128])) AS v FROM v WHERE id IS NOT NULL AND len(vector) = 128
+    AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1),
+  p AS (SELECT a.id AS a, b.id AS b, round(array_cosine_similarity(a.v, b.v), 6) AS c FROM ok a JOIN ok b ON a.id < b.id),
+  d AS (SELECT a, b, c FROM p WHERE c >= 0.85 UNION ALL SELECT b, a, c FROM p WHERE c >= 0.85)
+  SELECT DISTINCT least(a, b) AS content_a, greatest(a, b) AS content_b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM d) WHERE n <= 5"""
+}

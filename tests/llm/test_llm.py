@@ -171,10 +171,20 @@ def test_stored_segments_are_not_shuffled(spark, tmp_path):
     assert "SelectedBucketsCount: 4 out of 4" in plan and plan.count("Exchange hashpartitioning(segment") == 1  # of the probing side
 
 
-def test_accept_long_chain(spark):
-    items = spark.createDataFrame([(i, None, i) for i in range(12)], "ord long, id string, cls long")
+@pytest.mark.parametrize("how", [history.accept_in_order, history.accept_in_one_task])
+def test_accept_long_chain(spark, how):
+    items = spark.createDataFrame([(i, None, i) for i in range(12)], "ord long, id string, cls long").withColumn("ord", F.col("ord").cast("decimal(38,0)"))
     links = spark.createDataFrame([(i, i + 1) for i in range(11)], "x long, y long")
-    assert sorted(r[0] for r in history.accept_in_order(items, links).collect()) == [0, 2, 4, 6, 8, 10]
+    assert sorted(r[0] for r in how(items, links).collect()) == [0, 2, 4, 6, 8, 10]
+
+
+def test_rounds_decide_as_one_task_does(spark):
+    r = random.Random(13)
+    rows = [(i, r.choice([None, *"abcdefghij"]), r.choice([None, *range(30)])) for i in range(120)]
+    items = spark.createDataFrame(rows, "ord long, id string, cls long").withColumn("ord", F.col("ord").cast("decimal(38,0)")).where("id IS NOT NULL OR cls IS NOT NULL").groupBy("id", "cls").agg(F.min("ord").alias("ord"))
+    links = spark.createDataFrame([(i, j) for i in range(30) for j in range(i) if r.random() < 0.08], "x long, y long")
+    one, more = ({int(x["ord"]) for x in how(items, links).collect()} for how in (history.accept_in_one_task, history.accept_in_order))
+    assert one == more
 
 
 def test_top_n_ties_nulls_and_clashes(spark):
