@@ -219,3 +219,23 @@ def from_interactions(df: DataFrame, kind: str = "interaction_type", content: st
     })
     out = out.withColumn("creates_relationships", explicit_relationships(F.try_element_at(m, F.lit("relationships")), F.col("title")))
     return out.withColumn("error", F.when(F.col("update_type").isNull(), F.concat(F.lit("Unknown interaction type: "), F.coalesce(k, F.lit("null")))))
+
+
+def bulk_update(df: DataFrame, store, dry_run: bool = False) -> DataFrame:
+    """Write interactions (update_id, session_id, interaction_type, content) to a store as updates;
+    update_id, session_id, error of every row, null for those that are (or would be) written.
+
+    A row of an unknown kind, without an id or of a session the store doesn't have is refused alone,
+    the others are written. ``dry_run`` judges and writes nothing."""
+    rows = from_interactions(df)
+    if store.exists("session"):
+        known = store.read("session").select("session_id", F.lit(True).alias("__known"))
+    else:
+        known = df.select("session_id", F.lit(True).alias("__known")).where("false")
+    no_id = F.when(F.col("update_id").isNull(), "No update id")
+    unknown = F.when(F.col("__known").isNull(), F.concat(F.lit("Session not found: "), F.coalesce("session_id", F.lit("null"))))
+    rows = rows.join(known, "session_id", "left").withColumn("error", F.coalesce("error", no_id, unknown)).drop("__known")
+    if not dry_run:
+        columns = ["session_id", "update_id", "update_type", "title", "description", "details", "creates_entities", "creates_relationships"]
+        store.write("update", rows.where("error IS NULL").select(*columns))
+    return rows.select("update_id", "session_id", "error")

@@ -342,3 +342,14 @@ def test_export_of_everything(spark, tmp_path):
     assert [export.read_part(spark, path, n).collect() for n in ("embeddings", "workspaces", "checkpoints")] == [x.collect() for x in (e, w, k)]
     export.write_export(s, u, str(tmp_path / "less"))
     assert export.read_part(spark, str(tmp_path / "less"), "workspaces").count() == 0
+
+
+def test_bulk_update_and_dry_run(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    s.write("session", spark.createDataFrame([("s1", "a")], "session_id string, name string"))
+    rows = [("u1", "s1", "qa", {"question": "why", "answer": "so"}), ("u2", "s1", "nonsense", {}), ("u3", "s9", "qa", {"question": "q"}), (None, "s1", "qa", {"question": "q"})]
+    df = spark.createDataFrame(rows, "update_id string, session_id string, interaction_type string, content map<string,string>")
+    want = {"u1": None, "u2": "Unknown interaction type: nonsense", "u3": "Session not found: s9", None: "No update id"}
+    assert {r["update_id"]: r["error"] for r in context.bulk_update(df, s, dry_run=True).collect()} == want and not s.exists("update")
+    assert {r["update_id"]: r["error"] for r in context.bulk_update(df, s).collect()} == want
+    assert [r["update_id"] for r in s.read("update").collect()] == ["u1"]
