@@ -288,14 +288,16 @@ class SegmentIndex:
         pairs = scratch.keep(meet(probes(strings).hint(how), stored["segments"]), "pairs")
         return bounded(pairs, strings, pairs.select(F.col("y").alias("cls")).distinct().hint(how).join(stored["strings"], "cls"))
 
-    def append(self, strings: DataFrame, ids: DataFrame) -> None:
-        """Add classes (cls, realm, tokens) and ids that are not in the index yet, as one batch."""
+    def append(self, strings: DataFrame, ids: DataFrame, together: str = "") -> None:
+        """Add classes (cls, realm, tokens) and ids that are not in the index yet, as one batch.
+
+        ``together`` names the table whose rows lie in partitions by bucket already."""
         part = uuid.uuid4().int >> 65
         self._mark("begun", part)
 
         def add(what: str, rows: DataFrame) -> None:
             by = TABLES[what][0]
-            rows = rows.repartition(self.buckets, by).withColumn("part", F.lit(part).cast("long"))
+            rows = (rows if what == together else rows.repartition(self.buckets, by)).withColumn("part", F.lit(part).cast("long"))
             rows.sortWithinPartitions(by).write.insertInto(self._table(what))
 
         at_once(lambda: add("segments", segments(strings)), lambda: add("strings", strings.select("cls", "tokens")), lambda: add("ids", ids.select("id")))
@@ -322,19 +324,21 @@ class SegmentIndex:
                 left = left.join(met, key, "left_anti")
         n_left, n_links = Observation(), Observation()
         left = small.keep(left.select("ord", "id", "cls").observe(n_left, F.count("*").alias("n")), "left")
-        chosen = left.where("cls IS NOT NULL").groupBy("cls").agg(F.min("ord").alias("ord"))
-        # of an item several may have the same keys; their texts are one class then, if at all
-        first = items.join(chosen, ["ord", "cls"], "left_semi").dropDuplicates(["cls"]).select("cls", "realm", "tokens")
+        # texts are brought together by class once; what follows reads their buckets
+        first = items.where("cls IS NOT NULL").groupBy("cls").agg(F.first("realm").alias("realm"), F.first("tokens").alias("tokens"))
+        first = first.join(left.where("cls IS NOT NULL").select("cls").distinct(), "cls", "left_semi")
         first = first if self.levels is not None else small.keep(first, "first")
-        strings = wide.keep(canonical(first, self.order(first)), "strings")
-        if self._postings(strings) <= BUILD_ROWS:  # no task can get too many, whatever the skew
-            wide.spark, strings = self.steady, self.steady.read.schema(strings.schema).parquet(wide.paths[0])
+        name = small.bucketed(canonical(first, self.order(first)), "strings", "cls", self.buckets)
+        if self._postings(self.steady.table(name)) <= BUILD_ROWS:  # no task can get too many, whatever the skew
+            wide.spark = self.steady
+        strings = wide.spark.table(name)
         met = self.probe(strings, self.stored(wide.spark), small).select(F.col("x").alias("cls")).distinct()
         near = wide.keep(met, "near")
         new = strings.join(near.hint("merge"), "cls", "left_anti")
         own = segments(new, banded=False)
         links = wide.keep(bounded(meet(own, own, within=True), new, new).select("x", "y").observe(n_links, F.count("*").alias("n")), "links")
-        strings, near, links = (self.steady.read.schema(df.schema).parquet(path) for df, path in zip((strings, near, links), wide.paths))
+        strings = self.steady.table(name)
+        near, links = (self.steady.read.schema(df.schema).parquet(path) for df, path in zip((near, links), wide.paths))
         few = n_left.get["n"] + n_links.get["n"] <= ONE_TASK
         left = left.join(near, "cls", "left_anti").select("ord", "id", "cls")
         taken = small.keep(accept_in_one_task(left, links), "taken") if few else accept_in_order(left, links, small)
@@ -342,7 +346,7 @@ class SegmentIndex:
         accepted = taken.where("cls IS NOT NULL").select("cls")
         refused = Scratch(spark)
         _, out = at_once(
-            lambda: self.append(strings.join(accepted, "cls", "left_semi"), taken.where("id IS NOT NULL").select("id")),
+            lambda: self.append(strings.join(accepted, "cls", "left_semi"), taken.where("id IS NOT NULL").select("id"), "strings"),
             lambda: refused.keep(items.join(taken.select("ord").unionAll(free), "ord", "left_anti").select(*keys), "refused"),
         )
         wide.drop()
