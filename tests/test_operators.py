@@ -263,7 +263,11 @@ def test_connections(spark):
     assert retrieval.query_analysis(q, e).head()["related"] == ["payment", "timeout"]
     hits = spark.createDataFrame([("h1", "s", "the Database, again"), ("h2", "s", "a timeout"), ("h3", "s", "nothing")], "id string, session_id string, text string")
     ent = spark.createDataFrame([("s", n) for n in ("payment", "database", "timeout")], "session_id string, name string")
-    assert [(r["id"], r["relevance"]) for r in retrieval.enriched(hits, q, ent, e, "id").collect()] == [("h1", 100), ("h2", 50)]
+    # points: 100 to the query's entity, 50 to its neighbour, 10 for Implements (third of the preferred types), 20 for depth 1
+    found = {(r["id"], r["source"], r["node"]): (r["relevance"], r["nth"]) for r in retrieval.enriched(hits, q, ent, e, "id").collect()}
+    assert found == {("h1", "database", "payment"): (80, 1), ("h1", "database", "timeout"): (80, 2), ("h2", "timeout", "database"): (130, 1), ("h2", "timeout", "retry"): (30, 2)}
+    away = e.where("src = 'timeout'").selectExpr("session_id", "'RelatedTo' relation", "dst node", "3 depth")
+    assert graph.relevant(away, q, e).count() == 0 and graph.relevant(away, q.where("false"), e).count() == 1
 
 
 def test_incremental_indexing(spark, tmp_path):
