@@ -6,9 +6,13 @@ its lineage in the shared folder every round, and never collect nodes or edges t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -271,13 +275,46 @@ def network_page(scored: DataFrame, edges: DataFrame, n_nodes: int = 50, n_edges
 # -- retrieval enriched by the graph ---------------------------------------------------------------
 
 
+#: Bits of the set of names that ``text_entities`` sends to all tasks: 8 MB, whatever the data.
+NAME_BITS = 26
+
+
 def text_entities(texts: DataFrame, entities_: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, session_id, name: entities whose name is a word of the text (of two bytes or more),
-    punctuation around it and case left out."""
-    word = F.explode(F.split(F.coalesce(text, F.lit("")), r"\s+")).alias("w")
-    bare = F.lower(F.regexp_replace("w", r"^\p{Punct}+|\p{Punct}+$", ""))
-    words = texts.select(key, "session_id", word).select(key, "session_id", bare.alias("w")).where(F.octet_length("w") >= 2).distinct()
-    return words.join(entities_.select("session_id", "name", F.lower("name").alias("w")), ["session_id", "w"]).select(key, "session_id", "name").distinct()
+    punctuation around it and case left out.
+
+    Hashes of the names are set in a bit set of fixed size, so that nearly all other words are
+    dropped where the text is read; the rest meet the names in a join that sorts both sides, since
+    Spark takes exploded words for far fewer than they are and would broadcast them."""
+    words = F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", "")))
+    words = F.array_distinct(F.filter(words, lambda w: F.octet_length(w) >= 2))
+    names = durable(entities_.select("session_id", "name", F.lower("name").alias("w")), "names")
+    found = _words_among(texts.select(key, "session_id", words.alias("words")), names, key)
+    return found.join(names.hint("merge"), ["session_id", "w"]).select(key, "session_id", "name").distinct()
+
+
+def _words_among(words: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """key, session_id, w: of the words of each row those that are among ``names`` (session_id, w),
+    and a few others. At most 2**20 words of bits reach the driver."""
+
+    def slot(w: Column) -> Column:
+        return F.pmod(F.xxhash64("session_id", w), F.lit(1 << NAME_BITS))
+
+    set_ = names.select(slot(F.col("w")).alias("slot")).selectExpr("cast(slot div 64 as int) AS word", "shiftleft(1L, cast(slot % 64 as int)) AS bit")
+    set_ = set_.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (NAME_BITS - 6), np.int64)
+    bits[set_.column("word").to_numpy()] = set_.column("bits").to_numpy()
+    sent = words.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    schema = words.select(key, "session_id", F.lit("").alias("w")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(3).flatten().to_numpy(zero_copy_only=False)
+            hit = pa.array(np.flatnonzero((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)))
+            owner = pc.list_parent_indices(b.column(2)).take(hit)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).take(owner), b.column(2).flatten().take(hit)], names=schema.names)
+
+    return words.select(key, "session_id", "words", F.transform("words", slot).alias("slots")).mapInArrow(run, schema)
 
 
 #: Points of a relation for what it leads to, for its type (the first of PRIORITY) and its depth.

@@ -357,3 +357,15 @@ def test_bulk_update_and_dry_run(spark, tmp_path):
     assert {r["update_id"]: r["error"] for r in context.bulk_update(df, s, dry_run=True).collect()} == want and not s.exists("update")
     assert {r["update_id"]: r["error"] for r in context.bulk_update(df, s).collect()} == want
     assert [r["update_id"] for r in s.read("update").collect()] == ["u1"]
+
+
+def test_words_of_texts_are_not_broadcast(spark, tmp_path):
+    texts = [(f"u{i}", "st"[i % 2], " ".join(f"w{i * k % 977}," for k in range(200))) for i in range(300)] + [("v", "s", None), ("w", None, "w5 w5"), ("x", "s", "(W5) \u00c9t\u00e9. a")]
+    names = [("s", f"W{i}") for i in range(0, 977, 5)] + [("s", "w5"), ("t", "w7"), ("t", ""), ("s", "\u00e9T\u00c9"), ("s", "a")]
+    spark.createDataFrame(texts, "update_id string, session_id string, text string").write.parquet(f"{tmp_path}/texts")
+    spark.createDataFrame(names, "session_id string, name string").write.parquet(f"{tmp_path}/names")
+    out = graph.text_entities(spark.read.parquet(f"{tmp_path}/texts"), spark.read.parquet(f"{tmp_path}/names"), "update_id")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()  # words are taken for far fewer than they are
+    bare = {(u, s): {w.strip(",.()").lower() for w in (t or "").split()} for u, s, t in texts}
+    want = sorted((u, s, n) for (u, s), ws in bare.items() for o, n in names if o == s and len(n.encode()) > 1 and n.lower() in ws)
+    assert want and sorted(tuple(r) for r in out.collect()) == want
