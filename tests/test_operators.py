@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import ann, context, extract, graph, relational, search
+from sparkloom.operators import ann, context, extract, graph, relational, retrieval, search
 from sparkloom.sources import export, model
 from sparkloom.sources.store import Store
 
@@ -369,3 +369,21 @@ def test_words_of_texts_are_not_broadcast(spark, tmp_path):
     bare = {(u, s): {w.strip(",.()").lower() for w in (t or "").split()} for u, s, t in texts}
     want = sorted((u, s, n) for (u, s), ws in bare.items() for o, n in names if o == s and len(n.encode()) > 1 and n.lower() in ws)
     assert want and sorted(tuple(r) for r in out.collect()) == want
+
+
+def hits_and_graph(spark, folder):
+    for name, rows, schema in (
+        ("hits", [("u", "s", "Cache, of the (parser)"), ("v", "s", "nothing"), ("w", "t", "cache")], "update_id string, session_id string, text string"),
+        ("entities", [("s", "cache"), ("s", "Parser"), ("t", "index")], "session_id string, name string"),
+        ("edges", [("s", "cache", "index", "DependsOn"), ("s", "Parser", "cache", "Solves")], E),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}")
+    return [spark.read.parquet(f"{folder}/{name}") for name in ("hits", "entities", "edges")]
+
+
+def test_enriched_joins_no_exploded_words(spark, tmp_path):
+    hits, entities, e = hits_and_graph(spark, tmp_path)
+    out = retrieval.enriched(hits, e.select("session_id", F.col("src").alias("name")).where("name = 'cache'"), entities, e, "update_id")
+    assert "explode(split" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [(r["update_id"], r["source"], r["relation"], r["node"], r["relevance"], r["nth"]) for r in out.orderBy("nth").collect()]
+    assert got == [("u", "Parser", "Solves", "cache", 120, 1), ("u", "cache", "DependsOn", "index", 90, 2), ("u", "cache", "inverse_Solves", "Parser", 70, 3)]
