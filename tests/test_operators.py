@@ -387,3 +387,12 @@ def test_enriched_joins_no_exploded_words(spark, tmp_path):
     assert "explode(split" not in out._jdf.queryExecution().executedPlan().toString()
     got = [(r["update_id"], r["source"], r["relation"], r["node"], r["relevance"], r["nth"]) for r in out.orderBy("nth").collect()]
     assert got == [("u", "Parser", "Solves", "cache", 120, 1), ("u", "cache", "DependsOn", "index", 90, 2), ("u", "cache", "inverse_Solves", "Parser", 70, 3)]
+
+
+def test_expanded_search_joins_no_exploded_words(spark, tmp_path):
+    hits, entities, e = hits_and_graph(spark, tmp_path)
+    words, named, paths = retrieval.expanded_search(hits, "cache parser", entities, e, "update_id")
+    assert "explode(split" not in named._jdf.queryExecution().executedPlan().toString()
+    got = {(r["update_id"], r["name"]): r["related"] for r in named.collect()}
+    assert got == {("u", "cache"): ["Parser", "index"], ("u", "Parser"): ["cache"]}
+    assert [r["path"] for r in paths.collect()] == [["Parser", "cache"]]
