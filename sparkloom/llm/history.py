@@ -180,18 +180,31 @@ def bounded(pairs: DataFrame, probing: DataFrame, stored: DataFrame) -> DataFram
     return both.mapInArrow(run, "x long, y long, distance long")
 
 
-def steady(spark: SparkSession) -> SparkSession:
-    """A session of the same application without adaptive plans and broadcasts, which take a job and
-    threads of the driver for each exchange: too much for the many small steps of a batch."""
+def alongside(spark: SparkSession) -> SparkSession:
+    """Another session of the same application with the same settings."""
     own = spark.newSession()
     for k, v in spark.conf.getAll.items():
         if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
             own.conf.set(k, v)
+    return own
+
+
+def steady(spark: SparkSession) -> SparkSession:
+    """A session of the same application without adaptive plans and broadcasts, which take a job and
+    threads of the driver for each exchange: too much for the many small steps of a batch."""
+    own = alongside(spark)
     own.conf.set("spark.sql.adaptive.enabled", "false")
     own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     return own
 
 
+def few_buckets(spark: SparkSession) -> int:
+    """A third of the shuffle partitions, but not fewer than there are cores: each of the many steps of
+    a batch takes as many tasks, and a batch is a small part of what those partitions are meant for."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, -(-most // 3)))
+
+
 def at_once(*jobs: Callable) -> list:
     """What the jobs return; they run side by side, since each alone leaves cores idle."""
     with ThreadPoolExecutor(len(jobs)) as pool:
@@ -208,8 +221,8 @@ class SegmentIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path, self.steady = spark, path.rstrip("/"), steady(spark)
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.path, self.steady, self.wide = spark, path.rstrip("/"), steady(spark), alongside(spark)
+        self.buckets = buckets or few_buckets(spark)
         self.levels: np.ndarray | None = None
         self._load()
 
@@ -221,6 +234,8 @@ class SegmentIndex:
             self.levels, self.buckets = np.frombuffer(kept["levels"], np.uint8), kept["buckets"]
         elif self._marks("commits"):
             raise ValueError(f"{self.path} has batches but not the order of triples they were made with")
+        for own in (self.steady, self.wide):  # so that what meets the buckets is shuffled into as many
+            own.conf.set("spark.sql.shuffle.partitions", self.buckets)
 
     def order(self, classes: DataFrame) -> np.ndarray:
         """The global order of triples; made from ``classes`` (cls, realm, tokens) if there is none."""
@@ -312,7 +327,7 @@ class SegmentIndex:
         words) are alike to none, so such an item is refused by its id only.
         """
         spark, keys = self.spark, ["kind", "row_id", "item_no"]
-        wide, small = Scratch(spark), Scratch(self.steady)  # for joins of postings and texts, and for all else
+        wide, small = Scratch(self.wide), Scratch(self.steady)  # for joins of postings and texts, and for all else
         items = small.keep(hashed(rows, [*keys, "id", "realm"]), "batch")
         ranked = F.expr("(coalesce(cast(row_id as decimal(38,0)), -9223372036854775809) * 4294967296 + coalesce(item_no, -1)) * 65536 + realm").cast("decimal(38,0)")
         items = items.withColumn("ord", ranked)

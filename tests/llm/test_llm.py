@@ -171,6 +171,22 @@ def test_stored_segments_are_not_shuffled(spark, tmp_path):
     assert "SelectedBucketsCount: 4 out of 4" in plan and plan.count("Exchange hashpartitioning(segment") == 1  # of the probing side
 
 
+def test_a_batch_takes_fewer_tasks_than_shuffle_partitions(spark, tmp_path):
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", 60)
+    index = history.SegmentIndex(own, str(tmp_path))
+    assert index.buckets == 20  # more than the four cores
+    strings, _ = strings_of(own, index, [t for t in corpus(60, 8) if triple_set(t)])
+    index.append(strings, own.createDataFrame([], "id string"))
+    own.conf.set("spark.sql.shuffle.partitions", 30)
+    again = history.SegmentIndex(own, str(tmp_path))
+    assert again.buckets == 20
+    for session in (again.steady, again.wide):
+        probing = session.createDataFrame([(1, 2, 3, 0)], history.TABLES["segments"][1])
+        plan = history.meet(probing.hint("shuffle_hash"), again.stored(session)["segments"])._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount: 20 out of 20" in plan and "hashpartitioning(segment" in plan and plan.count("Exchange hashpartitioning(segment") == 1
+
+
 @pytest.mark.parametrize("how", [history.accept_in_order, history.accept_in_one_task])
 def test_accept_long_chain(spark, how):
     items = spark.createDataFrame([(i, None, i) for i in range(12)], "ord long, id string, cls long").withColumn("ord", F.col("ord").cast("decimal(38,0)"))
