@@ -22,6 +22,7 @@ import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ MATCHES = 4
 BUILD_ROWS = 2_000_000
 #: Items and links of a batch up to which one task decides them; more are decided in rounds.
 ONE_TASK = 300_000
+#: Waiting batches are admitted together while they hold at most this part of the items taken before, and so many at most.
+TOGETHER, MOST_TOGETHER = 0.5, 64
 TABLES = {"segments": ("segment", "segment BIGINT, cls BIGINT, n INT, at INT"), "strings": ("cls", "cls BIGINT, tokens BINARY"), "ids": ("id", "id STRING")}
 
 
@@ -319,17 +322,20 @@ class SegmentIndex:
         self._mark("commits", part)
 
     def admit(self, rows: DataFrame) -> DataFrame:
-        """Take one batch of items and append what is accepted; the refused items: keys.
+        """Take one batch of items, or a few in their order, and append what is accepted; the refused items: keys.
 
         ``rows``: kind, row_id, item_no (which tell items apart and give their order, nulls first),
-        id, realm (0 to 65,535, one for each kind), text. An item is refused if one accepted before, in this batch or any earlier,
+        id, realm (0 to 65,535, one for each kind), text, and turn (0 to 8,191) if they are of several batches,
+        the batch of turn 0 coming first. An item is refused if one accepted before, in this batch or any earlier,
         has its id or an alike text. Null ids equal none; null, empty and short texts (under 8
         words) are alike to none, so such an item is refused by its id only.
         """
         spark, keys = self.spark, ["kind", "row_id", "item_no"]
         wide, small = Scratch(self.wide), Scratch(self.steady)  # for joins of postings and texts, and for all else
-        items = small.keep(hashed(rows, [*keys, "id", "realm"]), "batch")
-        ranked = F.expr("(coalesce(cast(row_id as decimal(38,0)), -9223372036854775809) * 4294967296 + coalesce(item_no, -1)) * 65536 + realm").cast("decimal(38,0)")
+        rows = rows if "turn" in rows.columns else rows.withColumn("turn", F.lit(0))
+        items = small.keep(hashed(rows, [*keys, "turn", "id", "realm"]), "batch")
+        row = "cast(turn as decimal(38,0)) * 36893488147419103232 + coalesce(cast(row_id as decimal(38,0)), -9223372036854775809)"
+        ranked = F.expr(f"(({row}) * 4294967296 + coalesce(item_no, -1)) * 65536 + realm").cast("decimal(38,0)")
         items = items.withColumn("ord", ranked)
         left = items.where("id IS NOT NULL OR cls IS NOT NULL").groupBy("id", "cls").agg(F.min("ord").alias("ord"))
         # of the same id and class only the first can be accepted: what refuses it refuses the rest
@@ -450,20 +456,37 @@ def batch_items(exported: DataFrame, sessions: DataFrame) -> DataFrame:
     return e.unionByName(u)
 
 
+def taken_together(sizes: list[int]) -> list[list[int]]:
+    """The places of the batches that are admitted together, in order, by the numbers of their items."""
+    out: list[list[int]] = []
+    before = held = 0
+    for k, n in enumerate(sizes):
+        if out and held + n <= TOGETHER * before and len(out[-1]) < MOST_TOGETHER:
+            out[-1].append(k)
+            held += n
+        else:
+            before, held = before + held, n
+            out.append([k])
+    return out
+
+
 def repeats(rows: DataFrame) -> DataFrame:
     """kind, row_id, item_no of the items of ``batch_items`` that are not accepted.
 
-    The batches (one number each, nulls first) are laid out as they would arrive and admitted one
-    after the other to a new index, as ``SegmentIndex.admit`` states.
+    The batches (one number each, nulls first) are laid out as they would arrive and admitted in
+    this order to a new index, as ``SegmentIndex.admit`` states. All of them wait already, so
+    small ones are admitted together: else what is stored is read once for every one of them, which
+    for many batches is work in proportion to the square of their number.
     """
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
     rows = rows.withColumn("id", F.concat("kind", F.lit(" "), "id"))
     arrived = scratch.keep(rows, "arrived", by="batch_no")
-    numbers = sorted((r[0] for r in arrived.select("batch_no").distinct().collect()), key=lambda n: (n is not None, n))  # a row a batch
+    batches = sorted(map(tuple, arrived.groupBy("batch_no").count().collect()), key=lambda b: (b[0] is not None, b[0]))  # a row a batch
     index = SegmentIndex(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
     out = rows.select("kind", "row_id", "item_no").where("false")
-    for n in numbers:
-        out = out.unionAll(index.admit(arrived.where(F.col("batch_no").eqNullSafe(n))))
+    for places in taken_together([n for _, n in batches]):
+        waiting = [arrived.where(F.col("batch_no").eqNullSafe(batches[k][0])).withColumn("turn", F.lit(i)) for i, k in enumerate(places)]
+        out = out.unionAll(index.admit(reduce(DataFrame.unionAll, waiting)))
     scratch.drop()
     return out
 

@@ -109,6 +109,21 @@ def test_repeats_against_sequential(spark):
     assert history.repeats(df.where("false")).count() == 0
 
 
+def test_small_waiting_batches_are_admitted_together_in_order(spark, monkeypatch):
+    r, texts = random.Random(5), corpus(180, 12)
+    keys = [r.choice([None, *(f"{i:032x}" for i in range(90))]) for _ in texts]
+    # later rows come in earlier batches, so that the order is the batches', not the rows'
+    rows = [("embedding", [None, *range(1, 9)][max(0, 8 - i // 10)], i, 0, k, 0, t) for i, (k, t) in enumerate(zip(keys, texts))]
+    df = spark.createDataFrame(rows, "kind string, batch_no int, row_id long, item_no int, id string, realm int, text string")
+    turns, admit = [], history.SegmentIndex.admit
+    monkeypatch.setattr(history.SegmentIndex, "admit", lambda self, batch: turns.append(sorted(x[0] for x in batch.select("turn").distinct().collect())) or admit(self, batch))
+    got = {x["row_id"] for x in history.repeats(df).collect()}
+    assert turns == [[0], [0, 1, 2, 3, 4], [0, 1, 2]]  # 100 items, then 10 a batch
+    assert got == {o for o, _ in in_order([((x[2], 0), x[4], x[6]) for x in sorted(rows, key=lambda x: (x[1] or 0, x[2]))])}
+    assert history.taken_together([]) == [] and history.taken_together([0, 0, 4, 2, 1]) == [[0, 1], [2], [3], [4]]
+    assert max(map(len, history.taken_together([10**6] + [1] * 200))) == history.MOST_TOGETHER
+
+
 def strings_of(spark, index, texts):
     rows = spark.createDataFrame([(t, 0) for t in texts], "text string, realm int")
     classes = history.hashed(rows, ["text", "realm"]).where("cls IS NOT NULL").dropDuplicates(["cls"]).cache()
